@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, divergence, euclidean_lsh, histogram_shards, language_id, mixing, token_counts, url_rules
+from . import bpe, dart_minhash, divergence, euclidean_lsh, histogram_shards, html_crf, language_id, mixing, token_counts, url_rules
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -36,6 +36,10 @@ def op5_dart_minhash(spark, sf_dir):
     return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_html_crf(spark, sf_dir):
+    return html_crf.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def op10_histogram_shards(spark, sf_dir):
     return histogram_shards.shard(table(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_divergence, op2_euclidean_lsh, op3_language_id, op4_url_rules, op5_dart_minhash, op7_mixing, op8_token_counts, op9_byte_bpe, op10_histogram_shards)}
+QUERIES = {f.__name__: f for f in (op1_divergence, op2_euclidean_lsh, op3_language_id, op4_url_rules, op5_dart_minhash, op6_html_crf, op7_mixing, op8_token_counts, op9_byte_bpe, op10_histogram_shards)}
