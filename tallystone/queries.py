@@ -1,22 +1,4 @@
-"""Registered queries of the storage-usage engine and their DuckDB equivalents."""
+"""All registered queries of the storage-usage engine and their DuckDB equivalents."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query under ``name``, with its SQL if SQL can express it."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return keep
+from .plans import fact_queries, function_queries, report_queries, scan_queries, tree_queries  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
