@@ -59,20 +59,18 @@ def attribute(first: np.ndarray, end: np.ndarray, spans: Spans, rule: str = "sta
     stops = np.array([b for _, b in spans], dtype=np.int64)
     n = len(spans)
 
-    def of(chars: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(begins, chars, side="right") - 1
-        return np.where((at >= 0) & (chars < stops[at]), at, -1)
-
     last = np.maximum(first, end - 1)
-    head, tail = of(first), of(last)
+    low, high = np.searchsorted(begins, first, side="right") - 1, np.searchsorted(begins, last, side="right") - 1
+    head = np.where((low >= 0) & (first < stops[low]), low, -1)
+    tail = np.where((high >= 0) & (last < stops[high]), high, -1)
     if rule == "start":
         where = head
     elif rule == "end":
         where = tail
     elif rule == "most":
         where = head.copy()
-        for i in np.flatnonzero(head != tail):
-            cover = [(max(0, min(int(stops[s]), int(end[i])) - max(int(begins[s]), int(first[i]))), -s) for s in range(max(0, int(head[i])), int(tail[i]) + 1)]
+        for i in np.flatnonzero((low != high) | (head != tail)):
+            cover = [(max(0, min(int(stops[s]), int(end[i])) - max(int(begins[s]), int(first[i]))), -s) for s in range(max(0, int(low[i])), int(high[i]) + 1)]
             where[i] = -max(cover)[1] if cover and max(cover)[0] else -1
     else:
         raise ValueError(f"rule: {rule}")
