@@ -9,6 +9,7 @@ from ..functions.formats import default_name
 from ..functions.paths import basename, extension, parent_or_root
 
 FIRST_SYNTHETIC_UID = 1_000_000_000
+PREFIX = 4
 
 
 def named(rows: DataFrame, usernames: DataFrame) -> DataFrame:
@@ -27,10 +28,10 @@ def interned(names: DataFrame, usernames: DataFrame) -> DataFrame:
 def dictionary(values: DataFrame, value: str, number: str) -> DataFrame:
     """Each distinct value with a dense number from 0 in value order.
 
-    Values are numbered inside ranges of equal first two characters, whose
+    Values are numbered inside ranges of equal first characters (``PREFIX``), whose
     offsets come from a window over the ranges only.
     """
-    own = values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("head", F.substring(value, 1, 2))
+    own = values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("head", F.substring(value, 1, PREFIX))
     heads = own.groupBy("head").agg(F.count("*").alias("n"))
     heads = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     place = F.row_number().over(Window.partitionBy("head").orderBy(value)) - 1

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import default_name
 
 UNKNOWN = "__unknown__"
+PREFIX = 24
 
 
 def owned(events: DataFrame, usernames: DataFrame) -> DataFrame:
@@ -18,12 +19,18 @@ def owned(events: DataFrame, usernames: DataFrame) -> DataFrame:
 
 
 def numbered(issues: DataFrame) -> DataFrame:
-    """id from 1 in (uid, path, error, item_type) order; ids of a user follow from the counts of users before."""
-    counts = issues.groupBy("uid").agg(F.count("*").alias("n"))
-    before = Window.orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("uid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("uid").orderBy("path", "error", "item_type"))
-    return issues.withColumn("place", place).join(counts, "uid").select((F.col("offset") + F.col("place")).cast("long").alias("id"), "user", "item_type", "error", "path")
+    """id from 1 in (uid, path, error, item_type) order.
+
+    Issues are numbered inside groups of one uid and equal first characters of
+    the path; a window over the groups gives the offsets, so a user with most of
+    the issues is not one task.
+    """
+    rows = issues.withColumn("head", F.substring("path", 1, PREFIX))
+    counts = rows.groupBy("uid", "head").agg(F.count("*").alias("n"))
+    before = Window.orderBy("uid", "head").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("uid", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("uid", "head").orderBy("path", "error", "item_type"))
+    return rows.withColumn("place", place).join(counts, ["uid", "head"]).select((F.col("offset") + F.col("place")).cast("long").alias("id"), "user", "item_type", "error", "path")
 
 
 def by_user(issues: DataFrame) -> DataFrame:

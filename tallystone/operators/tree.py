@@ -40,11 +40,20 @@ def numbered(segs: DataFrame, root_name: str = "/") -> DataFrame:
     up = tree.select(F.col("segs").alias("up_segs"), F.col("dir_id").alias("parent_id"))
     tree = tree.withColumn("up", F.when(F.col("depth") > 0, F.slice("segs", F.lit(1), F.greatest(F.lit(0), F.col("depth") - 1))))
     tree = tree.join(up, F.col("up") == F.col("up_segs"), "left")
-    names = tree.groupBy("name").agg(F.min("dir_id").alias("first_id"))
-    names = names.select("name", (F.row_number().over(Window.orderBy("first_id")) - 1).cast("long").alias("name_id"))
+    names = numbered_names(tree)
     return tree.join(names, "name").select("dir_id", "parent_id", "depth", from_segments(F.col("segs")).alias("path"), "name", "name_id", "segs")
 
 
+def numbered_names(tree: DataFrame) -> DataFrame:
+    """name, name_id: distinct names by first appearance, numbered in the same groups as the directories."""
+    first = tree.groupBy("name").agg(F.min(F.struct("dir_id", "depth", F.slice("segs", 1, 2).alias("head"))).alias("first")).select("name", "first.*")
+    groups = first.groupBy("depth", "head").agg(F.count("*").alias("n"))
+    before = Window.orderBy("depth", "head").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select("depth", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("depth", "head").orderBy("dir_id")) - 1
+    return first.withColumn("place", place).join(groups, ["depth", "head"]).select("name", (F.col("offset") + F.col("place")).cast("long").alias("name_id"))
+
+
 def subtree_usage(direct: DataFrame) -> DataFrame:
     """path, total_size, total_files of every directory with everything below it. ``direct``: dir, size, files."""
     own = direct.groupBy("dir").agg(F.sum("size").alias("size"), F.sum("files").alias("files"))

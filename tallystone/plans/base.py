@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, facts, scan, tree
 from ..sources import fixtures
+from ..staging import staged
 
 
 class Scan:
@@ -14,6 +15,14 @@ class Scan:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._direct: DataFrame | None = None
+        self._tree: DataFrame | None = None
+
+    def stage(self) -> Scan:
+        """For plans that use them several times: direct usage, and the tree built from it, are written once."""
+        self._direct = staged(tree.direct_usage(self.files))
+        self._tree = staged(tree.numbered(tree.closure(self._direct)))
+        return self
 
     def table(self, name: str) -> DataFrame:
         return fixtures.read(self.spark, self.sf_dir, name)
@@ -25,11 +34,11 @@ class Scan:
 
     @property
     def direct(self) -> DataFrame:
-        return tree.direct_usage(self.files)
+        return tree.direct_usage(self.files) if self._direct is None else self._direct
 
     @property
     def tree(self) -> DataFrame:
-        return tree.numbered(tree.closure(self.direct))
+        return tree.numbered(tree.closure(self.direct)) if self._tree is None else self._tree
 
     @property
     def usernames(self) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import facts, issues, scan, tree
+from ..staging import staged
 
 
 def files_of(entries: DataFrame, target_uids: DataFrame | None = None) -> DataFrame:
@@ -27,8 +28,8 @@ def issues_of(entries: DataFrame) -> DataFrame:
 
 def tables(files: DataFrame, usernames: DataFrame, users: DataFrame, owners: DataFrame, events: DataFrame, max_level: int = 3) -> dict[str, DataFrame]:
     """users, dirs, files, file_names, treemap, names, owners, issues."""
-    direct = tree.direct_usage(files)
-    nodes = tree.numbered(tree.closure(direct))
+    direct = staged(tree.direct_usage(files))
+    nodes = staged(tree.numbered(tree.closure(direct)))
     rows = facts.file_rows(files, nodes)
     names = facts.dictionary(rows, "name", "name_id")
     seen = facts.owners(nodes, owners)

@@ -13,14 +13,14 @@ from .tree_queries import TREEMAP
 
 @query("fact_files", f"WITH {TREE} SELECT coalesce(dir_id, 0) AS dir_id, string_split(fe.path, '/')[-1] AS name, lower(regexp_extract(fe.path, '\\.([^./]*)$', 1)) AS ext, uid, size FROM fe LEFT JOIN tree ON tree.path = regexp_replace(fe.path, '/[^/]*$', '')")
 def fact_files(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     return facts.file_rows(s.files, s.tree)
 
 
 @query("fact_files_outside", f"WITH {TREE} SELECT CASE WHEN uid % 4 = 0 THEN 0 ELSE dir_id END AS dir_id, uid, CAST(sum(size) AS BIGINT) AS size FROM fe JOIN tree ON tree.path = regexp_replace(fe.path, '/[^/]*$', '') GROUP BY ALL")
 def fact_files_outside(spark, sf_dir):
     """Files outside the tree belong to the root."""
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     moved = s.files.withColumn("path", F.when(F.col("uid") % 4 == 0, F.concat(F.lit("/elsewhere"), "path")).otherwise(F.col("path")))
     return facts.file_rows(moved, s.tree).groupBy("dir_id", "uid").agg(F.sum("size").alias("size"))
 
@@ -45,7 +45,7 @@ def fact_users(spark, sf_dir):
 
 @query("fact_user_dirs", f"WITH {TREE} SELECT dir_id, uid, parent_id, dd.dir AS path, size, files FROM dd LEFT JOIN tree ON tree.path = dd.dir")
 def fact_user_dirs(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     return facts.user_dir_rows(s.direct, s.tree)
 
 
@@ -56,12 +56,12 @@ def fact_dir_files(spark, sf_dir):
 
 @query("fact_child_dirs", f"WITH {TREE} SELECT parent_id, count(*) AS dirs FROM tree WHERE parent_id IS NOT NULL GROUP BY 1")
 def fact_child_dirs(spark, sf_dir):
-    return Scan(spark, sf_dir).tree.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("dirs"))
+    return Scan(spark, sf_dir).stage().tree.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("dirs"))
 
 
 @query("fact_owners", f"WITH {TREEMAP} SELECT path, owner_uid FROM treemap WHERE path IN (SELECT dir FROM dd GROUP BY dir HAVING min(uid) % 2 = 0)")
 def fact_owners(spark, sf_dir):
-    return Scan(spark, sf_dir).owners
+    return Scan(spark, sf_dir).stage().owners
 
 
 @query("fact_largest_owner", f"WITH {DD} SELECT dir, uid FROM (SELECT dir, uid, row_number() OVER (PARTITION BY dir ORDER BY size DESC, uid) AS place FROM dd) WHERE place = 1")
@@ -73,7 +73,7 @@ def largest_owner(spark, sf_dir):
 @query("fact_meta", f"""WITH {TREE}, t AS (SELECT CAST(count(*) AS VARCHAR) AS files, CAST(sum(size) AS VARCHAR) AS size FROM fe), d AS (SELECT CAST(count(*) AS VARCHAR) AS dirs FROM tree)
 SELECT 'scan_root' AS key, '/' AS value UNION ALL SELECT 'schema_version', '1' UNION ALL SELECT 'total_files', files FROM t UNION ALL SELECT 'total_size', size FROM t UNION ALL SELECT 'total_dirs', dirs FROM d""")
 def fact_meta(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     fixed = facts.meta_rows({"scan_root": "/", "schema_version": "1"}, spark)
     text = lambda c: F.col(c).cast("string")
     sums = s.files.agg(F.count("*").alias("n"), F.sum("size").alias("z")).select(F.explode(F.create_map(F.lit("total_files"), text("n"), F.lit("total_size"), text("z"))))

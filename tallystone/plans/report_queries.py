@@ -121,7 +121,7 @@ def files_page_of_ext(spark, sf_dir):
 
 @query("so_dirs_page", f"WITH {TREE} SELECT dir_id, path, size FROM (SELECT dir_id, dd.dir AS path, size, row_number() OVER (ORDER BY size DESC, dir_id) AS place FROM dd JOIN tree ON tree.path = dd.dir WHERE uid = 7) WHERE place BETWEEN 6 AND 10")
 def dirs_page(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     dirs = facts.user_dir_rows(s.direct.where("uid = 7"), s.tree)
     last = reports.dirs_page(dirs, 7, 5).orderBy("size", F.desc("dir_id")).first()
     return reports.dirs_page(dirs, 7, 5, (last["size"], last["dir_id"]))

@@ -37,7 +37,7 @@ def closure(spark, sf_dir):
 
 @query("tr_numbered", f"WITH {TREE} SELECT dir_id, parent_id, depth, path, name, name_id FROM tree")
 def numbered(spark, sf_dir):
-    return Scan(spark, sf_dir).tree.drop("segs")
+    return Scan(spark, sf_dir).stage().tree.drop("segs")
 
 
 @query("tr_subtree", f"WITH {TREE}, {SUBTREE} SELECT path, total_size, total_files FROM subtree")
@@ -47,13 +47,13 @@ def subtree(spark, sf_dir):
 
 @query("tr_treemap", f"WITH {TREEMAP} SELECT * EXCLUDE (depth) FROM treemap")
 def treemap(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     return tree.treemap(s.tree, s.direct, s.owners)
 
 
 @query("tr_treemap_levels", f"WITH {TREEMAP} SELECT * EXCLUDE (depth) FROM treemap WHERE depth <= 2")
 def treemap_levels(spark, sf_dir):
-    s = Scan(spark, sf_dir)
+    s = Scan(spark, sf_dir).stage()
     return tree.treemap(s.tree, s.direct, s.owners, 2)
 
 
@@ -70,13 +70,13 @@ def ancestor_set(spark, sf_dir):
 
 @query("tr_descendants", f"WITH {TREE} SELECT dir_id, path FROM tree WHERE starts_with(path, '/ASIA/')")
 def descendants(spark, sf_dir):
-    return tree.descendants(Scan(spark, sf_dir).tree, "/ASIA").select("dir_id", "path")
+    return tree.descendants(Scan(spark, sf_dir).stage().tree, "/ASIA").select("dir_id", "path")
 
 
 @query("tr_path_to_id", f"WITH {TREE} SELECT dir_id, path FROM tree WHERE path IN ('/', '/EUROPE', '/AFRICA/NATION_0')")
 def path_to_id(spark, sf_dir):
     wanted = spark.createDataFrame([("",), ("/EUROPE/",), ("/AFRICA/NATION_0",), ("/nowhere",)], "p string").select(normalize_root(F.col("p")).alias("path"))
-    return Scan(spark, sf_dir).tree.join(wanted, "path", "left_semi").select("dir_id", "path")
+    return Scan(spark, sf_dir).stage().tree.join(wanted, "path", "left_semi").select("dir_id", "path")
 
 
 @query("tr_clamped", f"WITH {TREE} SELECT '/' || array_to_string(string_split(substr(dir, 2), '/')[1:2], '/') AS path, CAST(sum(size) AS BIGINT) AS size FROM dd GROUP BY 1")
@@ -103,7 +103,7 @@ def user_tree_view(spark, sf_dir):
 
 @query("st_matches_and_ancestors", f"WITH {TREE} SELECT DISTINCT u.path FROM up u JOIN nodes n ON n.path = u.dir WHERE u.dir ILIKE '%nation_1%' UNION SELECT path FROM nodes WHERE path ILIKE '%nation_1%' UNION SELECT u.path FROM up u WHERE u.dir ILIKE '%nation_1%'")
 def matches_and_ancestors(spark, sf_dir):
-    hits = Scan(spark, sf_dir).tree.where(F.col("path").ilike("%nation_1%")).select("path")
+    hits = Scan(spark, sf_dir).stage().tree.where(F.col("path").ilike("%nation_1%")).select("path")
     return tree.ancestor_set(hits)
 
 
