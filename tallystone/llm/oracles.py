@@ -2,6 +2,74 @@
 
 from __future__ import annotations
 
+from .divergence import CHAR_LIMIT, CHAR_NOISE, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT, WORD_NOISE
+
+_VALUES = ", ".join(f"('{lang}', '{w}')" for lang, words in COMMON.items() for w in words.split())
+_CLASSES = [r"\p{Ll}", r"\p{Lu}\p{Lt}", r"\p{Lm}\p{Lo}\p{M}", r"\p{N}", r"\p{Z}\x09-\x0D", r".,;:!?''’\"()\-"]
+_COUNT = ", ".join(f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g')) AS c{i}" for i, c in enumerate(_CLASSES))
+_EDGE = r".,;:!?''’\"()"
+
+OP1 = rf"""
+WITH common(lang, w) AS (VALUES {_VALUES}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+places AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut WHERE len(ws) > 8),
+wins AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS key FROM places),
+twice AS (SELECT rid, unnest(range(i, i + 8)) AS pos FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS n FROM wins) WHERE n > 1),
+repeats AS (SELECT rid, count(DISTINCT pos) AS n FROM twice GROUP BY rid),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+base AS (
+  SELECT d.rid, doc_id, lang, t, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM d JOIN cut USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN repeats r USING (rid)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+classes AS (SELECT rid, {_COUNT}, length(t) - length(regexp_replace(t, '[\p{{P}}\p{{S}}]', '', 'g')) - (length(t) - length(regexp_replace(t, '[{_CLASSES[5]}]', '', 'g'))) AS c6, length(t) AS n FROM judged WHERE NOT base_failed),
+chars AS (SELECT rid, unnest(range(8)) AS bin, unnest([c0, c1, c2, c3, c4, c5, c6, n - c0 - c1 - c2 - c3 - c4 - c5 - c6]) AS n FROM classes),
+bare AS (SELECT rid, lower(regexp_replace(w, '^[{_EDGE}]+|[{_EDGE}]+$', '', 'g')) AS w FROM (SELECT rid, unnest(ws) AS w FROM cut JOIN judged USING (rid) WHERE NOT base_failed)),
+counts AS (SELECT rid, CASE WHEN w IN (SELECT w FROM common) THEN w ELSE '' END AS w, count(*) AS n FROM bare GROUP BY ALL),
+char_refs AS (SELECT lang, bin, CAST(sum(chars.n * 1000000 // classes.n) AS DOUBLE) AS r FROM chars JOIN classes USING (rid) JOIN judged USING (rid) WHERE lang IN (SELECT lang FROM common) GROUP BY lang, bin),
+word_sums AS (SELECT lang, w, sum(n * 1000000 // n_words) AS r FROM counts JOIN judged USING (rid) WHERE lang IN (SELECT lang FROM common) GROUP BY lang, w),
+word_refs AS (
+  SELECT s.lang, CASE WHEN c.w IS NULL THEN '' ELSE s.w END AS w, CAST(sum(r) AS DOUBLE) AS r FROM word_sums s LEFT JOIN common c ON c.lang = s.lang AND c.w = s.w GROUP BY ALL),
+char_pairs AS (SELECT rid, lang, n / sum(n) OVER (PARTITION BY rid, lang) AS p, r / sum(r) OVER (PARTITION BY rid, lang) AS q FROM chars JOIN char_refs USING (bin)),
+own_counts AS (SELECT rid, l.lang, CASE WHEN c.w IS NULL THEN '' ELSE k.w END AS w, sum(n) AS n FROM counts k CROSS JOIN (SELECT DISTINCT lang FROM word_refs) l LEFT JOIN common c ON c.lang = l.lang AND c.w = k.w GROUP BY ALL),
+every AS (SELECT rid, lang, w FROM (SELECT DISTINCT rid FROM counts) CROSS JOIN (SELECT DISTINCT lang, w FROM word_refs UNION SELECT lang, w FROM own_counts)),
+word_pairs AS (SELECT e.rid, e.lang, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY e.rid, e.lang) AS p, coalesce(r, 0) / sum(coalesce(r, 0)) OVER (PARTITION BY e.rid, e.lang) AS q
+  FROM every e LEFT JOIN own_counts USING (rid, lang, w) LEFT JOIN word_refs USING (lang, w)),
+char_far AS (SELECT rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM char_pairs GROUP BY rid, lang),
+word_far AS (SELECT rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM word_pairs GROUP BY rid, lang),
+near AS (
+  SELECT rid, bool_or((length(t) < {MIN_CHARS} OR c.far - {CHAR_NOISE} / sqrt(length(t)) <= {CHAR_LIMIT}) AND (n_words < {MIN_WORDS} OR w.far - {WORD_NOISE} / sqrt(n_words) <= {WORD_LIMIT})) AS ok
+  FROM char_far c JOIN word_far w USING (rid, lang) JOIN judged USING (rid) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
+FROM judged LEFT JOIN near USING (rid)
+"""
+
+OP2 = r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT rid, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0),
+pairs AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(rid, id) AS (SELECT rid, vec_id FROM ok UNION SELECT p.a, r.id FROM reach r JOIN pairs p ON p.b = r.rid)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(low, vec_id) AS component_id, vec_id = coalesce(low, vec_id) AS kept
+FROM v LEFT JOIN (SELECT a AS rid, count(*) AS n FROM pairs GROUP BY a) USING (rid) LEFT JOIN (SELECT rid, min(id) AS low FROM reach GROUP BY rid) USING (rid)
+"""
+
+OP5 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+texts AS (SELECT text, min(doc_id) AS low, row_number() OVER () AS tid FROM d WHERE regexp_matches(text, '[^\x20\x09-\x0D]') GROUP BY text),
+cut AS (SELECT tid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM texts),
+grams AS (SELECT tid, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') AS s, least(5, len(ws)) AS width FROM (SELECT tid, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS i FROM cut)),
+sets AS (SELECT tid, s, width, count(*) AS n FROM grams GROUP BY ALL),
+totals AS (SELECT tid, sum(n) AS n FROM sets GROUP BY tid),
+inter AS (SELECT a.tid AS a, b.tid AS b, sum(least(a.n, b.n)) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.width = b.width AND a.tid < b.tid GROUP BY ALL),
+near AS (SELECT a, b FROM inter JOIN totals x ON x.tid = a JOIN totals y ON y.tid = b WHERE inter.n / CAST(x.n + y.n - inter.n AS DOUBLE) >= 0.8),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(tid, id) AS (SELECT tid, low FROM texts UNION SELECT l.a, r.id FROM reach r JOIN links l ON l.b = r.tid),
+classes AS (SELECT tid, min(id) AS class_id FROM reach GROUP BY tid),
+found AS (SELECT doc_id, CASE WHEN t.tid IS NULL THEN doc_id ELSE class_id END AS class_id FROM d LEFT JOIN texts t ON d.text = t.text LEFT JOIN classes USING (tid))
+SELECT doc_id, class_id, coalesce(doc_id = class_id, class_id IS NULL) AS kept FROM found
+"""
+
 OP4 = r"""
 WITH rules(r_host, r_path, r_verdict) AS (VALUES
   ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
@@ -80,4 +148,4 @@ SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, s
 FROM placed
 """
 
-ORACLES = {"op4_url_rules": OP4, "op7_mixing": OP7, "op10_histogram_shards": OP10}
+ORACLES = {"op1_divergence": OP1, "op2_euclidean_lsh": OP2, "op5_dart_minhash": OP5, "op4_url_rules": OP4, "op7_mixing": OP7, "op10_histogram_shards": OP10}
