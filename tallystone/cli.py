@@ -13,6 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import notify
 from .config import Config
 from .functions import render
 from .functions.paths import normalize_root
@@ -21,6 +22,7 @@ from .operators import tree as trees
 from .plans import build
 from .sources import documents, filesystem, sinks
 from .status import Heartbeat
+from .sync import Target
 
 TABLES = ["users", "dirs", "files", "file_names", "treemap", "names", "owners", "issues"]
 
@@ -42,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output")
     p.add_argument("--output-dir", default=".")
     p.add_argument("--tree-map", action="store_true")
+    p.add_argument("--webhook-url")
+    p.add_argument("--sync-host")
+    p.add_argument("--sync-user", default="")
+    p.add_argument("--sync-dest-dir")
     p.add_argument("--level", type=int, default=3)
     p.add_argument("--show-report", action="store_true")
     p.add_argument("--files", nargs="+")
@@ -201,6 +207,10 @@ def main(argv: list[str] | None = None) -> int:
         output = sinks.output_path(config.data.get("output_file", "report.json"), a.output_dir, a.output, a.prefix, datetime.now() if a.date else None)
         report = run(spark, config.data, a.output_dir, output, a.prefix, a.level, a.user)
         said.append(render.table(["team", "used"], [(r["name"], render.size_text(r["used"])) for r in report["team_usage"]], report["directory"]))
+        if a.webhook_url and not notify.send(a.webhook_url, report):
+            said.append("The notification was not delivered.")
+        if a.sync_host and not Target(a.sync_host, a.sync_dest_dir or a.output_dir, a.sync_user).push_folder(a.output_dir):
+            said.append("The copy to the other host failed.")
     if a.show_report:
         said.append(show_reports(spark, documents.expand(a.files or []), a.user, a.compare_by))
     if a.detail:

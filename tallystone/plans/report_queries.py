@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import notify
 from ..operators import classify, compare, facts, reports, tree
 from ..registry import query
 from ..sources import fixtures
@@ -49,6 +50,11 @@ def top_users(spark, sf_dir):
     return reports.top_usage(classify.user_usage(Scan(spark, sf_dir).classified).where("section = 'user'").select("name", "used"), 20)
 
 
+@query("so_notification", f"WITH {SUMMARY}, top AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY used DESC, name) AS place FROM summary WHERE section <> 'team') SELECT section, name, used FROM top WHERE place <= 10")
+def notification(spark, sf_dir):
+    return notify.top_rows(classify.user_usage(Scan(spark, sf_dir).classified))
+
+
 @query("rq14_console_teams", f"WITH {CLASSIFIED} SELECT team, CAST(sum(used) AS BIGINT) AS used FROM cl WHERE configured AND team <> 'Other' GROUP BY team UNION ALL SELECT 'Other', CAST(coalesce(sum(used), 0) AS BIGINT) FROM cl WHERE NOT configured")
 def console_teams(spark, sf_dir):
     return classify.console_teams(Scan(spark, sf_dir).classified)

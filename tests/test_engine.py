@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone import cli
+from tallystone import cli, notify, sync
 from tallystone.config import Config
 from tallystone.functions import formats, paths, render
 from tallystone.operators import compare, issues, scan, tree
@@ -167,3 +167,17 @@ def test_streaming_adds_up(spark, files, tmp_path):
 def test_issue_search(spark):
     rows = issues.numbered(spark.createDataFrame([(1, "u", "file", "EIO", "/a/1"), (1, "u", "file", "EIO", "/b/2"), (2, "v", "file", "EIO", "/a/3")], "uid long, user string, item_type string, error string, path string"))
     assert [(r.id, r.total) for r in issues.of_user(rows, "u", 1, "/").collect()] == [(1, 2)]
+
+
+def test_card_and_copies(tmp_path):
+    report = {"directory": "/d", "general_system": {"total": 4096, "used": 1024}, "team_usage": [{"name": "lab", "used": 9}], "user_usage": [{"name": f"u{i}", "used": i} for i in range(14)], "other_usage": []}
+    body = notify.card(report)["attachments"][0]["content"]["body"]
+    assert [f["title"] for f in body[-1]["facts"]] == [f"u{i}" for i in range(13, 3, -1)]
+    assert not notify.send("http://127.0.0.1:9/none", report, 0.2)
+    seen = []
+    target = sync.Target("host", "/srv/re ports/", "me", lambda args, **k: seen.append(args) or 0)
+    (tmp_path / "r.json").write_text("{}")
+    assert target.push_folder(str(tmp_path)) and target.push_file(str(tmp_path / "r.json"))
+    assert "'/srv/re ports.staging'" in seen[0][2].replace("'\"'\"'", "'") and seen[1][-2] == "me@host" and seen[2][-1].endswith("'/srv/re ports/r.json'")
+    failing = sync.Target("host", "/srv", run=lambda args, **k: 1)
+    assert not failing.push_folder(str(tmp_path))
