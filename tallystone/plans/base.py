@@ -29,8 +29,7 @@ class Scan:
 
     @property
     def files(self) -> DataFrame:
-        rows = fixtures.with_link_count(fixtures.inodes(self.spark, self.sf_dir))
-        return scan.one_per_inode(rows).select("path", "uid", "size")
+        return scan.one_per_inode(fixtures.inodes(self.spark, self.sf_dir)).select("path", "uid", "size")
 
     @property
     def direct(self) -> DataFrame:

@@ -97,6 +97,12 @@ def hardlinks(spark, sf_dir):
     return Scan(spark, sf_dir).files
 
 
+@query("dd_hardlinks_counted", f"WITH {FE} SELECT path, uid, size FROM fe")
+def hardlinks_counted(spark, sf_dir):
+    """The same where entries know how many links they have: only linked ones are shuffled."""
+    return scan.one_per_inode(fixtures.with_link_count(fixtures.inodes(spark, sf_dir))).select("path", "uid", "size")
+
+
 @query("ag_counters", f"""WITH {EV}, e AS (SELECT CASE ino % 11 WHEN 0 THEN 'symlink' WHEN 1 THEN 'dir' WHEN 2 THEN 'other' ELSE 'file' END AS kind, size FROM ev)
 SELECT count(*) FILTER (kind = 'file') AS total_files, count(*) FILTER (kind = 'dir') AS total_dirs, count(*) FILTER (kind <> 'other') AS total_inodes, CAST(sum(size) FILTER (kind = 'file') AS BIGINT) AS total_size FROM e""")
 def counters(spark, sf_dir):
