@@ -8,8 +8,8 @@ documents are scored through their non-empty buckets only.
 
 Bounds: at most about ``DOCS_A_LANGUAGE`` labelled documents of each language
 train the model (picked by a hash of the doc_id); buckets shrink so that languages
-x buckets stay within ``MOST_CELLS``, which bounds the broadcast to 32 MB. All
-languages have the same prior.
+x buckets stay within ``MOST_CELLS``, which bounds the broadcast to 32 MB; more
+than ``MOST_LANGUAGES`` languages are an error. All languages have the same prior.
 
 Null text, empty text or text without a letter: ``und`` with score 0. Documents
 with a null doc_id or null lang never train and are not held out. Without any
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 DOCS_A_LANGUAGE = 6000
 BITS = 15
 MOST_CELLS = 1 << 22
+MOST_LANGUAGES = 1 << 14
 CHUNK = 1 << 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -87,7 +88,9 @@ def held_out(doc_id):
 def train(docs: DataFrame) -> Model:
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     use = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (part != 1))
-    sizes = {r["lang"]: r["count"] for r in use.groupBy("lang").count().orderBy("lang").limit(MOST_CELLS >> 6).collect()}
+    sizes = {r["lang"]: r["count"] for r in use.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(sizes)
     if not languages:
         return Model([], np.zeros((0, 0)), BITS)
