@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,37 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle_table(df: DataFrame) -> DataFrame:
+    """The same for wide rows: a compressed Parquet table in the checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (i, j) that connect what all of them connect."""
+    up = list(range(n))
+    out = []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    left = n
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = top(a), top(b)
+        if x != y:
+            up[x] = y
+            out.append((a, b))
+            left -= 1
+            if left == 1:
+                break
+    return out
+
+
 def hex_bits(digest, digits: int):
     """The first hexadecimal digits of a digest column as a long."""
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")

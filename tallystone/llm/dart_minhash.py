@@ -9,12 +9,13 @@ coordinate is kept. A text throws darts until an expected ``k ln k + 2k`` have
 fallen, and twice as long if a coordinate is still empty. Two signatures agree
 in a coordinate with the weighted Jaccard similarity as probability.
 
-Bands of ``rows`` coordinates are joined. Equal texts are collapsed first. Within
-a band bucket every member is first paired with the bucket's smallest member
-only; pairs are checked exactly (weighted Jaccard over whole texts). Members that
-are then still in different components meet in a second round, all pairs across
-components that were not checked yet, so no candidate link is lost and no group
-is expanded into all its pairs while it hangs together. Chance: a pair of
+Bands of ``rows`` coordinates are joined. Equal texts count once. Within a band
+bucket every member is first paired with the bucket's smallest member only; pairs
+are checked exactly (weighted Jaccard over whole texts). Buckets whose members
+are then still in different components are compared in blocks: a task gets a
+block pair's texts, counts their common shingles by matrix products and returns
+edges that keep the links connected. So no candidate link is lost, and no group
+is expanded into its pairs. Chance: a pair of
 similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993.
 
 Null text, or text without a word: in no class but its own, never linked. Null
@@ -27,7 +28,6 @@ ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, components, settle
+from .common import WORD, components, settle, settle_table, spanning
 
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 5
 CELLS_A_STEP = 150_000
+BLOCK = 512
+COLUMNS = 1 << 14
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -135,12 +137,28 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.view(np.int64)
 
 
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard of two multisets."""
-    if len(a) > len(b):
-        a, b = b, a
-    low = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return low / (a.total() + b.total() - low) if low else 0.0
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard of two texts, given their sorted cells: units in both over units in either."""
+    low = len(np.intersect1d(a, b, assume_unique=True))
+    return low / (len(a) + len(b) - low) if low else 0.0
+
+
+def links(cells: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i < j) of similar enough texts. Common units are counted by matrix products, ``COLUMNS`` units at a time."""
+    n = len(cells)
+    sizes = np.array(list(map(len, cells)))
+    unit, counts = np.unique(np.concatenate(cells), return_counts=True)
+    unit = unit[counts > 1]
+    both = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, len(unit), COLUMNS):
+        part = unit[at : at + COLUMNS]
+        m = np.zeros((n, len(part)), dtype=np.float32)
+        for i, own in enumerate(cells):
+            m[i, np.searchsorted(part, own[np.isin(own, part, assume_unique=True)])] = 1
+        both += m @ m.T
+    both = both.astype(np.float64)
+    either = sizes[:, None] + sizes[None, :] - both
+    return np.nonzero(np.triu((both >= 1) & (both / np.maximum(either, 1) >= least), 1))
 
 
 def text_node():
@@ -155,61 +173,108 @@ def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, sets = None, None
+        last, cells = None, None
         for batch in batches:
             keep = []
             for i, (a, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["a_text"], batch["b_text"], strict=True)):
                 if a != last:
-                    last, sets = a, Counter(shingles(x.as_py()).tolist())
-                if similarity(sets, Counter(shingles(y.as_py()).tolist())) >= least:
+                    last, cells = a, np.sort(unit_cells(shingles(x.as_py())))
+                if similarity(cells, np.sort(unit_cells(shingles(y.as_py())))) >= least:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary")
 
 
-def buckets(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band_key, node of every text: the banded signatures."""
+def across(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Edges (a, b) that connect the linked members of each bucket of ``rows`` (band_key, node, root).
+
+    A bucket of more than ``BLOCK`` members is divided into pairs of blocks; each
+    is compared in one task by matrix products, and returns connecting edges only.
+    """
+    sizes = rows.groupBy("band_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    met = rows.join(sizes, "band_key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    met = met.select("band_key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    met = met.select("band_key", F.least("own", "with").alias("g1"), F.greatest("own", "with").alias("g2"), "node", "root")
+    key = ["band_key", "g1", "g2"]
+    several = met.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*key)
+    met = met.join(several, key, "left_semi").join(texts, "node")
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = met.select(*key, "node", "text").repartition(many, *key).sortWithinPartitions(*key)
+
+    def one(own: list[tuple[bytes, str]]) -> list[tuple[bytes, bytes]]:
+        i, j = links([np.sort(unit_cells(shingles(t))) for _, t in own], least)
+        return [(own[a][0], own[b][0]) for a, b in spanning(len(own), i, j)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            nodes, at, done = b["node"], 0, 0
-            while done < len(nodes):
-                cells, size = [], 0
-                while done < len(nodes) and size < CELLS_A_STEP:
-                    cells.append(unit_cells(shingles(b["text"][done].as_py())))
-                    size += len(cells[-1])
-                    done += 1
-                keys = band_keys(signatures(cells, bands * rows), bands, rows)
-                own = pa.array(np.repeat(np.arange(at, done), bands))
-                at = done
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), nodes.take(own)], names=["band_key", "node"])
+        def packed(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        last, own, out = None, [], []
+        for batch in batches:
+            for *at, node, text in zip(*(batch[c].to_pylist() for c in (*key, "node", "text")), strict=True):
+                if at != last:
+                    out += one(own) if len(own) > 1 else []
+                    last, own = at, []
+                own.append((node, text))
+            if len(out) > 4096:
+                yield packed(out)
+                out = []
+        yield packed(out + (one(own) if len(own) > 1 else []))
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
 
-    return texts.select("node", "text").mapInArrow(run, "band_key long, node binary")
+def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """band_key, node of every text that has a word: the banded signatures. A task passes over texts that it has had."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[bytes] = set()
+        for b in batches:
+            fresh, cells, size = [], [], 0
+            for i, node in enumerate(b["node"].to_pylist()):
+                if node in had:
+                    continue
+                had.add(node)
+                fresh.append(i)
+                cells.append(unit_cells(shingles(b["text"][i].as_py())))
+                size += len(cells[-1])
+                if size >= CELLS_A_STEP:
+                    yield packed(b, fresh, cells)
+                    fresh, cells, size = [], [], 0
+            if cells:
+                yield packed(b, fresh, cells)
+
+    def packed(b: pa.RecordBatch, fresh: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
+        keys = band_keys(signatures(cells, bands * rows), bands, rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b["node"].take(pa.array(np.repeat(fresh, bands)))], names=["band_key", "node"])
+
+    return docs.select(text_node(), "text").where(F.col("node").isNotNull()).mapInArrow(run, "band_key long, node binary")
 
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node, class_id of every distinct text that has a word: the smallest doc_id of its component."""
-    named = docs.select("doc_id", "text", text_node()).where(F.col("node").isNotNull())
-    texts = named.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("text").alias("text"))
-    texts = settle(texts)
-    member = buckets(texts, bands, rows)
-    low = member.groupBy("band_key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band_key", "a")
-    member = settle(member.join(low, "band_key").select("band_key", "a", F.col("node").alias("b")))
+    """node, class_id of every distinct text that has a word: the smallest doc_id of its component.
+
+    Only texts that share a bucket with another text are moved, once.
+    """
+    nodes = settle(docs.select("doc_id", text_node()).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low")))
+    member = settle(buckets(docs, bands, rows).distinct())
+    low = member.groupBy("band_key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    member = settle(member.join(low, "band_key").select("band_key", "n", "a", F.col("node").alias("b")))
     pairs = settle(member.where("a <> b").select("a", "b").distinct())
+    involved = member.select(F.col("b").alias("node")).distinct().join(nodes, "node").select(F.col("node").alias("k_node"), F.col("low").alias("k_low"))
+    named = docs.select("doc_id", text_node(), "text")
+    texts = named.join(involved, (F.col("node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_low")))
+    texts = settle_table(texts.groupBy("node").agg(F.first("text").alias("text")))
     found = settle(checked(pairs, texts, least))
     roots = components(found)
     # members that are still apart from others of their bucket
-    state = member.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band_key", "b", F.coalesce("root", "b").alias("root"))
-    apart = state.groupBy("band_key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y and n > 2").select("band_key")
-    apart = settle(state.join(apart, "band_key"))
-    one, other = apart.alias("one"), apart.alias("other")
-    across = one.join(other, F.expr("one.band_key = other.band_key and one.root < other.root"))
-    across = across.select(F.least("one.b", "other.b").alias("a"), F.greatest("one.b", "other.b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = settle(checked(across, texts, least))
+    state = member.where("n > 2").join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band_key", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
+    apart = state.groupBy("band_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band_key")
+    more = settle(across(settle(state.join(apart, "band_key", "left_semi")), texts, least))
     if not more.isEmpty():
         roots = components(found.unionByName(more))
-    placed = texts.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("class_id"))
     return settle(placed.join(ids, "root").select("node", "class_id"))
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, settle
+from .common import components, settle, spanning
 
 LEAST = 0.95
 WIDTH = 2.0
@@ -110,29 +110,6 @@ def hashed(reps: DataFrame, k: int, tables: int) -> DataFrame:
     return reps.select("node", "vec").mapInArrow(run, "key long, node binary")
 
 
-def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (i, j) that connect what all of them connect."""
-    up = list(range(n))
-    out = []
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    left = n
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            up[x] = y
-            out.append((a, b))
-            left -= 1
-            if left == 1:
-                break
-    return out
-
-
 def linked(x: np.ndarray, side: np.ndarray, key: int, alone: bool, k: int, tables: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i < j) of one block (alone) or across two blocks that link and meet first in this bucket."""
     near = x @ x.T >= least

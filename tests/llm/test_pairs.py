@@ -38,12 +38,21 @@ def texts(seed, n=60):
     return out
 
 
-def test_near_duplicates_match_brute_force(spark):
+def cells(text):
+    return np.sort(dm.unit_cells(dm.shingles(text)))
+
+
+@pytest.mark.parametrize("block", [512, 8])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(dm, "BLOCK", block)
     own = texts(3) + ["a b", "a b", "", None, " \n", "a b c d e f g h i j", "a b c d e f g h i j"]
     rows = [(i, t, "clash") for i, t in enumerate(own)] + [(None, "a b", "clash"), (0, own[0], "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
     sets = [Counter(dm.shingles(t).tolist()) for t in own]
-    pairs = [(i, j) for i in range(len(own)) for j in range(i) if sets[i] and sets[j] and dm.similarity(sets[i], sets[j]) >= 0.8]
+    for i, a in enumerate(sets[:20]):
+        for j, b in enumerate(sets[:20]):
+            assert dm.similarity(cells(own[i]), cells(own[j])) == ((a & b).total() / (a | b).total() if a else 0)
+    pairs = [(i, j) for i in range(len(own)) for j in range(i) if (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total() > 0]
     want = roots(range(len(own)), pairs)
     found = dm.near_duplicates(docs).collect()
     assert len(found) == len(rows)
@@ -61,13 +70,21 @@ def test_no_rows(spark):
     assert el.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("columns", [1 << 14, 7])
+def test_links_of_a_block(monkeypatch, columns):
+    monkeypatch.setattr(dm, "COLUMNS", columns)
+    own = [cells(t) for t in texts(8)]
+    want = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own)) if dm.similarity(own[i], own[j]) >= 0.8}
+    assert set(zip(*(x.tolist() for x in dm.links(own, 0.8)), strict=True)) == want and len(want) > 10
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 400).astype(np.uint64)
     a = np.concatenate([a, a[:100], a[:50]])
     b = np.concatenate([a[60:], rng.integers(0, 2**63, 60).astype(np.uint64)])
     sig = dm.signatures([dm.unit_cells(a), dm.unit_cells(b)], 4000)
-    true = dm.similarity(Counter(a.tolist()), Counter(b.tolist()))
+    true = dm.similarity(np.sort(dm.unit_cells(a)), np.sort(dm.unit_cells(b)))
     assert abs((sig[0] == sig[1]).mean() - true) < 0.03
     alone = dm.signatures([dm.unit_cells(a)], 4000)
     assert (alone[0] == sig[0]).all()
