@@ -27,7 +27,12 @@ def issues_of(entries: DataFrame) -> DataFrame:
 
 
 def tables(files: DataFrame, usernames: DataFrame, users: DataFrame, owners: DataFrame, events: DataFrame, max_level: int = 3) -> dict[str, DataFrame]:
-    """users, dirs, files, file_names, treemap, names, owners, issues."""
+    """users, dirs, files, file_names, treemap, names, owners, issues.
+
+    Files (each inode once), direct usage and the tree are written once each; all
+    tables are made from those.
+    """
+    files = staged(files)
     direct = staged(tree.direct_usage(files))
     nodes = staged(tree.numbered(tree.closure(direct)))
     rows = facts.file_rows(files, nodes)
