@@ -272,9 +272,13 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     state = member.where("n > 2").join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band_key", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
     apart = state.groupBy("band_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band_key")
     more = settle(across(settle(state.join(apart, "band_key", "left_semi")), texts, least))
-    if not more.isEmpty():
-        roots = components(found.unionByName(more))
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    if not more.isEmpty():
+        # the components that these edges join: the graph of the roots is enough
+        for end in ("a", "b"):
+            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        top = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
+        placed = placed.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "low", F.coalesce("top", "root").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("class_id"))
     return settle(placed.join(ids, "root").select("node", "class_id"))
 
