@@ -8,6 +8,9 @@ of whole passes over the source plus a rest: the rest goes to the first
 documents in key order, and the document at the cut gives only the words that
 are left of the budget.
 
+The table of sources is broadcast if it measures at most ``MOST_BROADCAST`` bytes,
+else joined like any other; rows then move once, to their ranges.
+
 Null text: size 0, never taken. Null source: a source of its own, the last.
 Repeated rows stand next to each other in key order and are cut like any others.
 A source without words has target 0. An empty table gives no rows.
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 from .common import WORD_CLASS, hex_bits, settle
 
 RANGE_ROWS = 4096
+MOST_BROADCAST = 8 << 20
 KEY_BITS = 60
 RANGE_BITS = 20
 
@@ -35,7 +39,7 @@ def random_key(doc_id, text, seed: str):
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
-    """s_source, s_weight, s_size, s_rows, target of every source of ``rows`` (source, size).
+    """s_source, s_id, s_weight, s_size, s_rows, target of every source of ``rows`` (source, size).
 
     All words are shared by weight; what exceeds ``most`` times a source is shared
     anew among the others until no target is above. Only two sums a round reach
@@ -43,7 +47,8 @@ def targets(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """
     place = F.row_number().over(Window.orderBy(F.col("s_source").asc_nulls_last())) - 1
     each = rows.groupBy(F.col("source").alias("s_source")).agg(F.sum("size").alias("s_size"), F.count("*").alias("s_rows"))
-    each = settle(each.withColumn("s_weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long")))
+    each = each.withColumn("s_id", place)
+    each = settle(each.withColumn("s_weight", F.element_at(F.array(*map(F.lit, weights)), F.col("s_id") % len(weights) + 1).cast("long")))
     total, weight = each.agg(F.sum("s_size"), F.sum("s_weight")).first()
     if not weight:
         return each.withColumn("target", F.lit(0.0))
@@ -60,13 +65,14 @@ def targets(rows: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 def with_cut(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Add n_passes and n_cut (words of the last, partial pass) to ``rows`` (source, doc_id, size, key, ...)."""
     bins = F.greatest(F.lit(1), F.ceil(F.col("s_rows") / RANGE_ROWS)).cast("long")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("s_source")))
+    size = plan.agg(F.sum(F.coalesce(F.octet_length("s_source"), F.lit(0)) + 64)).first()[0] or 0
+    rows = rows.join(F.broadcast(plan) if size <= MOST_BROADCAST else plan, F.col("source").eqNullSafe(F.col("s_source")))
     rows = rows.withColumn("range", F.shiftright(F.shiftright("key", KEY_BITS - RANGE_BITS) * bins, RANGE_BITS))
-    sums = rows.groupBy("s_source", "range").agg(F.sum("size").alias("range_size"))
-    order = Window.partitionBy("s_source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("s_source").alias("r_source"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(order), F.lit(0)).alias("offset"))
-    rows = rows.join(sums, F.col("s_source").eqNullSafe(F.col("r_source")) & (F.col("range") == F.col("r_range")))
-    order = Window.partitionBy("s_source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("s_id", "range").agg(F.sum("size").alias("range_size"))
+    order = Window.partitionBy("s_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("s_id", "range", F.coalesce(F.sum("range_size").over(order), F.lit(0)).alias("offset"))
+    rows = rows.join(sums, ["s_id", "range"])
+    order = Window.partitionBy("s_id", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     words = F.floor("target").cast("long")
     passes = F.when(F.col("s_size") > 0, (words / F.col("s_size")).cast("long")).otherwise(F.lit(0)).cast("long")
     rows = rows.withColumn("n_passes", passes).withColumn("ahead", F.col("offset") + F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -42,9 +42,10 @@ def key_of(i, text):
     return int(hashlib.md5(f"mix|{'' if i is None else i}|{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()[:15], 16)
 
 
-@pytest.mark.parametrize("range_rows", [4096, 3])
-def test_mixing_matches_brute_force(spark, monkeypatch, range_rows):
+@pytest.mark.parametrize(("range_rows", "most"), [(4096, 8 << 20), (3, 0)])
+def test_mixing_matches_brute_force(spark, monkeypatch, range_rows, most):
     monkeypatch.setattr(mixing, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", most)
     rows = awkward()
     sized = [(i, len(WORD.findall(t or "")), s, key_of(i, t)) for i, t, s in rows]
     sizes = Counter()
