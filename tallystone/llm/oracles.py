@@ -130,7 +130,7 @@ docs AS (
 sized AS (
   SELECT doc_id, CAST(octet_length(raw) + 16 AS BIGINT) AS size, part, part * 2147483648 + own AS key,
     xor(list_reduce(
-      list_prepend(4294967295, list_transform(range(octet_length(raw)), lambda i: CAST(('0x' || substr(digits, CAST(2 * i + 1 AS INTEGER), 2)) AS BIGINT))),
+      list_prepend(4294967295, list_transform(regexp_extract_all(digits, '..'), lambda x: CAST('0x' || x AS BIGINT))),
       lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295) AS text_crc32
   FROM docs, crc_table),
 total AS (SELECT sum(size) AS bytes FROM sized),
