@@ -6,6 +6,11 @@ Training sums bucket counts per language (partition by partition in numpy, then
 one aggregate); the matrix of log-probabilities is broadcast and a batch's
 documents are scored through their non-empty buckets only.
 
+Over n-grams the score of the best language nears 1 after a few words, in whatever
+language or noise the text is. ``confident`` therefore also asks that the mean
+log-probability of the text's n-grams is nearer to that of training text of its
+language than to that of the nearest other language's (``least_fit``).
+
 Bounds: at most about ``DOCS_A_LANGUAGE`` labelled documents of each language
 train the model (picked by a hash of the doc_id); buckets shrink so that languages
 x buckets stay within ``MOST_CELLS``, which bounds the broadcast to 32 MB; more
@@ -34,6 +39,8 @@ MOST_LANGUAGES = 1 << 14
 CHUNK = 1 << 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
+#: Standard deviations of the mean that a short text may fall below, and the n-grams that start at one character.
+DEVIATIONS, GRAMS = 3, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,15 +77,44 @@ def bucket_counts(text: str, bits: int) -> np.ndarray | None:
 class Model:
     def __init__(self, languages: list[str], log_p: np.ndarray, bits: int):
         self.languages, self.log_p, self.bits = languages, log_p, bits
+        self.fit: tuple[np.ndarray, np.ndarray] | None = None
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.measured(text)[:2]
+
+    def measured(self, text: str | None) -> tuple[str, float, int, float, int]:
+        """The language, its score, its place, the mean log-probability of the text's n-grams in it, and their number."""
         counts = bucket_counts(text, self.bits) if text and self.languages else None
         if counts is None:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0, 0.0, 0
         full = np.flatnonzero(counts)
         scores = counts[full] @ self.log_p[full]
         best = int(np.argmax(scores))
-        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum())
+        n = int(counts.sum())
+        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum()), best, float(scores[best]) / n, n
+
+    def sure(self, text: str | None, score_least: float) -> bool:
+        """Whether the score is high enough and the text fits the language as its own text does."""
+        lang, score, best, mean, n = self.measured(text)
+        if lang == UNKNOWN or score < score_least:
+            return False
+        least, spread = self.least_fit()
+        return bool(mean >= least[best] - DEVIATIONS * spread[best] * np.sqrt(GRAMS / n))
+
+    def least_fit(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per language: the mean log-probability halfway between its own text and the nearest other language's, and the deviation of one n-gram's.
+
+        With one language there is no other to compare with and every text fits.
+        """
+        if self.fit is None:
+            p = np.exp(self.log_p)
+            own, near = np.einsum("ij,ij->j", p, self.log_p), np.full(p.shape[1], -np.inf)
+            for k in range(p.shape[1]):
+                means = p[:, k] @ self.log_p
+                means[k] = -np.inf
+                near = np.maximum(near, means)
+            self.fit = (own + near) / 2, np.sqrt(np.maximum(0, np.einsum("ij,ij->j", p, self.log_p**2) - own**2))
+        return self.fit
 
 
 def held_out(doc_id):
@@ -138,12 +174,14 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a score of at least ``least``."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    """The rows of ``docs`` whose language is told with a score of at least ``least`` and whose text fits it."""
+    model = train(docs)
+    if model.languages:
+        model.least_fit()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def sure(text: pd.Series) -> pd.Series:
-        found = map(shared.value.predict, text)
-        return pd.Series([x != UNKNOWN and score >= least for x, score in found], dtype=bool)
+        return pd.Series([shared.value.sure(t, least) for t in text], dtype=bool)
 
     return docs.where(sure("text"))

@@ -90,6 +90,18 @@ def test_language_held_out_accuracy(spark):
     assert empty.lang_pred == "und" and not empty.held_out
 
 
+def test_texts_of_no_learned_language_are_not_confident(spark):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(5)
+    strange = ["Сегодня утром мы пошли в магазин за хлебом и молоком, потому что дома ничего не было. " * 3, "Dzisiaj rano poszliśmy do sklepu po chleb i mleko, ponieważ w domu niczego już nie było, a dzieci czekały. " * 3]
+    strange += [base64.b64encode(rng.randbytes(300)).decode(), " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(60))]
+    docs = train.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(strange)], "doc_id long, text string, lang string"))
+    kept = {r.doc_id for r in language_id.confident(docs).select("doc_id").collect()}
+    assert min(kept) >= 0
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").join(train, "doc_id").where("text is not null")
+    assert {r.doc_id for r in clean.select("doc_id").collect()} <= kept
+
+
 def test_long_texts_are_counted_in_chunks(monkeypatch):
     text = "Die Straße führt über den Fluß. " * 40
     whole = language_id.bucket_counts(text, 12)
