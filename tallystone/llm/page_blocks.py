@@ -3,7 +3,8 @@
 One pass of a regular expression over the tags keeps a stack of open elements.
 Text between two block boundaries is a block; inline tags and line breaks do not
 end it. Every open element carries the features of its ancestors, so a block
-only adds its own. Broken markup is read as browsers do in the common cases:
+only adds its own, and the stack is never cut, however deep a page is nested.
+Formulas and what an embedded object holds in its place are inline text. Broken markup is read as browsers do in the common cases:
 a new block element ends an open paragraph, a list item ends the one before,
 an end tag ends everything opened since its start tag and is ignored without one.
 """
@@ -18,12 +19,13 @@ TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of HTML: elements whose content is not text of the page, elements without content, inline elements.
-RAW = frozenset("script style noscript template iframe svg object title textarea select math canvas audio video datalist".split())
+RAW = frozenset("script style noscript template iframe svg title textarea select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var ruby rt rp label br wbr img".split())
+MATH = "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
+INLINE = frozenset(f"{MATH} audio canvas object video a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong sub sup time tt u var ruby rt rp label br wbr img".split())
 ENDS_PARAGRAPH_NOT = INLINE | {"input", "button", "source", "param", "meta", "link"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-SCOPES = frozenset("ul ol dl table body html article section div main".split())
+SCOPES = frozenset("object ul ol dl table body html article section div main".split())
 ANCESTORS = frozenset("nav header footer aside form article main section ul ol table figure blockquote dialog fieldset button pre details menu address".split())
 #: Words of class, id and role values by what they tell.
 HINTS = {
@@ -108,6 +110,8 @@ def blocks(page: str | None) -> list[Block]:
     if not page:
         return out
     stack, parts, links = [ROOT], [], 0
+    # for every place of the stack its innermost element that is not inline; the places of each tag
+    around, places = [ROOT], {}
     holder: Open | None = None
     at, end = 0, len(page)
 
@@ -120,20 +124,20 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, own.tag, own.features, links))
             parts, links, holder = [], 0, None
 
-    def inside() -> Open:
-        for x in reversed(stack):
-            if x.tag not in INLINE:
-                return x
-        return stack[0]
-
-    def close(tags: tuple[str, ...], scopes: frozenset[str]) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return True
-            if stack[i].tag in scopes:
-                return False
-        return False
+    def enter(own: Open) -> None:
+        places.setdefault(own.tag, []).append(len(stack))
+        around.append(around[-1] if own.tag in INLINE else own)
+        stack.append(own)
+
+    def last(tags: tuple[str, ...] | frozenset[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def close(tags: tuple[str, ...], scopes: frozenset[str]) -> None:
+        at = last(tags)
+        if at and at >= last(scopes):
+            while len(stack) > at:
+                places[stack.pop().tag].pop()
+                around.pop()
 
     def add(text: str) -> None:
         nonlocal links, holder
@@ -141,7 +145,7 @@ def blocks(page: str | None) -> list[Block]:
             text = html.unescape(text)
         parts.append(text)
         if holder is None and not text.isspace():
-            holder = inside()
+            holder = around[-1]
         if stack[-1].link:
             links += len(text)
 
@@ -179,9 +183,7 @@ def blocks(page: str | None) -> list[Block]:
             if tag in SIBLINGS:
                 close(SIBLINGS[tag], SCOPES)
             if not attributes.rstrip().endswith("/"):
-                stack.append(opened(stack[-1], tag, attributes))
-            if len(stack) > 512:
-                del stack[256:]
+                enter(opened(stack[-1], tag, attributes))
     flush()
     return out
 

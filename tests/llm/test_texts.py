@@ -190,6 +190,18 @@ def test_blocks_of_broken_markup():
     assert [(b.text, b.tag) for b in found] == [("one", "li"), ("two", "li"), ("three", "p"), ("four five", "p"), ("a", "td"), ("b", "td"), ("six", "body")]
 
 
+def test_formulas_and_fallbacks_are_text():
+    found = blocks("<p>So <math><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow></math> holds, <object data=x>a <b>drawing</b></object> shows, <video src=v>a film</video> too.</p><canvas><p>bars</p></canvas>")
+    assert [(b.text, b.tag) for b in found] == [("So a+1 holds, a drawing shows, a film too.", "p"), ("bars", "p")]
+    assert [(b.text, b.tag) for b in blocks("<p>one <object><p>two</p></object> three</p>")] == [("one", "p"), ("two", "p"), ("three", "p")]
+
+
+@pytest.mark.parametrize("tag", ["div", "span"])
+def test_deep_blocks_keep_their_ancestors(tag):
+    found = blocks("<body>" + f"<{tag}>" * 300 + "<nav>" + f"<{tag}>" * 40_000 + "<p>deep</p>" + f"</{tag}>" * 40_000 + "<p>in</p></nav><p>out</p>")
+    assert [(b.text, "in:nav" in b.features) for b in found] == [("deep", True), ("in", True), ("out", False)]
+
+
 @pytest.fixture(scope="module")
 def reference():
     import public_tokenizers as P
