@@ -55,14 +55,14 @@ def one_per_inode(rows: DataFrame) -> DataFrame:
     """Every inode once, under its smallest path; ties are broken by uid, size and ``tie``.
 
     With a link count (nlink) only entries with several links pass the shuffle of
-    the window, the others are taken as they are. Without one, every entry may
-    have other links.
+    the window, the others are taken as they are, also where the file system
+    gives no count (0 or null). Without the column, every entry may have other links.
     """
     order = Window.partitionBy("ino", "dev").orderBy("path", "uid", "size", "tie")
     first = lambda df: df.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
     if "nlink" not in rows.columns:
         return first(rows)
-    return rows.where("nlink = 1").unionByName(first(rows.where("nlink > 1")))
+    return rows.where("nlink is null or nlink <= 1").unionByName(first(rows.where("nlink > 1")))
 
 
 def visited_once(dirs: DataFrame) -> DataFrame:

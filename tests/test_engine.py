@@ -121,6 +121,12 @@ def test_visited_directories(spark):
     assert sorted(r.path for r in scan.visited_once(dirs).collect()) == ["/a", "/a/x", "/bb"]
 
 
+def test_entries_without_a_link_count(spark):
+    rows = spark.createDataFrame([("/a", 1, 0), ("/b", 2, None), ("/c", 3, 1), ("/d", 4, 2), ("/e", 4, 2)], "path string, ino long, nlink long")
+    rows = rows.select("*", F.lit(1).alias("dev"), F.lit(7).alias("uid"), F.lit(5).alias("size"), F.col("ino").alias("tie"))
+    assert sorted(r.path for r in scan.one_per_inode(rows).collect()) == ["/a", "/b", "/c", "/d"]
+
+
 def test_run_and_show(spark, tmp_path, capsys):
     root, out = tmp_path / "data", tmp_path / "out"
     (root / "x/y").mkdir(parents=True)
