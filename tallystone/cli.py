@@ -21,6 +21,7 @@ from .operators import classify, compare, facts, issues, mounts, reports, scan
 from .operators import tree as trees
 from .plans import build
 from .sources import documents, filesystem, sinks
+from .staging import staged
 from .status import Heartbeat
 from .sync import Target
 
@@ -79,7 +80,7 @@ def run(spark: SparkSession, config: dict, folder: str, output: str, prefix: str
         twice = [r[0] for r in mounts.duplicate_mounts(documents.mount_lines(spark), root).collect()]
         stage = f"{folder}/entries"
         filesystem.entries(spark, root, skip, twice).write.mode("overwrite").parquet(stage)
-        entries = spark.read.parquet(stage)
+        entries = staged(scan.entered_once(spark.read.parquet(stage)))
         names = documents.host_usernames(spark)
         users, teams = documents.config_tables(spark, config)
         wanted = names.join(spark.createDataFrame([(u,) for u in targets], "username string"), "username", "left_semi").select("uid") if targets else None

@@ -65,11 +65,27 @@ def one_per_inode(rows: DataFrame) -> DataFrame:
     return rows.where("nlink is null or nlink <= 1").unionByName(first(rows.where("nlink > 1")))
 
 
+def met_again(dirs: DataFrame) -> DataFrame:
+    """path of every second path to a directory. The first is the least deep, then the smallest by names."""
+    names = segments(F.col("path"))
+    order = Window.partitionBy("ino", "dev").orderBy(F.size(names), names)
+    return dirs.withColumn("place", F.row_number().over(order)).where("place > 1").select("path")
+
+
 def visited_once(dirs: DataFrame) -> DataFrame:
     """Directories without those below a second path to a directory that was met before."""
-    order = Window.partitionBy("ino", "dev").orderBy("path")
-    again = dirs.withColumn("place", F.row_number().over(order)).where("place > 1").select("path")
-    return drop_below(dirs, again)
+    return drop_below(dirs, met_again(dirs))
+
+
+def entered_once(entries: DataFrame) -> DataFrame:
+    """Entries without second paths to a directory and what those hold directly.
+
+    A directory below a second path goes by its own inode: it stays if no other
+    path to it was walked, as when a task of the walk met it there first.
+    """
+    gone = met_again(entries.where("kind = 'dir' and error is null")).select(F.col("path").alias("gone"))
+    rows = entries.join(gone, F.col("path") == F.col("gone"), "left_anti")
+    return rows.join(gone, (parent_or_root(rows["path"]) == F.col("gone")) & (rows["kind"] != "dir"), "left_anti")
 
 
 def targeted(rows: DataFrame, uids: DataFrame) -> DataFrame:

@@ -127,6 +127,28 @@ def test_entries_without_a_link_count(spark):
     assert sorted(r.path for r in scan.one_per_inode(rows).collect()) == ["/a", "/b", "/c", "/d"]
 
 
+TWICE = [("/r", "dir", 1, 2), ("/r/a", "dir", 2, 3), ("/r/a/s", "dir", 3, 2), ("/r/a/f", "file", 10, 1), ("/r/a/s/g", "file", 11, 1)]
+TWICE += [("/r/a-b", "dir", 2, 3), ("/r/a-b/s", "dir", 3, 2), ("/r/a-b/f", "file", 10, 1), ("/r/a-b/s/g", "file", 11, 1), ("/r/a-b/t", "dir", 4, 2), ("/r/a-b/t/h", "file", 12, 1)]
+
+
+def entries(spark):
+    data = [(p, k, 7, 4096 if k == "file" else 0, i, 1, n, None) for p, k, i, n in TWICE]
+    return spark.createDataFrame(data, filesystem.SCHEMA)
+
+
+def test_directories_are_entered_once(spark):
+    got = sorted(r.path for r in scan.entered_once(entries(spark)).collect())
+    assert got == ["/r", "/r/a", "/r/a-b/t", "/r/a-b/t/h", "/r/a/f", "/r/a/s", "/r/a/s/g"]
+
+
+def test_run_counts_a_directory_met_twice_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(filesystem, "entries", lambda *_: entries(spark))
+    config = Config(str(tmp_path / "c.json"))
+    config.init("/r")
+    report = cli.run(spark, config.data, str(tmp_path), str(tmp_path / "r.json"), level=0)
+    assert sum(r["used"] for r in report["user_usage"] + report["other_usage"]) == 3 * 4096
+
+
 def test_run_and_show(spark, tmp_path, capsys):
     root, out = tmp_path / "data", tmp_path / "out"
     (root / "x/y").mkdir(parents=True)
