@@ -253,7 +253,9 @@ def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """node, class_id of every distinct text that has a word: the smallest doc_id of its component.
+    """node, root, class_id of every distinct text that has a word: its component, and the smallest doc_id of that.
+
+    Components that share a doc_id may have the same class_id; root tells them apart.
 
     Only texts that share a bucket with another text are moved, once.
     """
@@ -280,7 +282,7 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
         top = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
         placed = placed.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "low", F.coalesce("top", "root").alias("root"))
     ids = placed.groupBy("root").agg(F.min("low").alias("class_id"))
-    return settle(placed.join(ids, "root").select("node", "class_id"))
+    return settle(placed.join(ids, "root").select("node", "root", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -291,12 +293,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with one document of each class. Rows that repeat a doc_id count as one document."""
+    """The rows of ``docs`` with one document of each class. Rows of one class that repeat its doc_id count as one document."""
     names = docs.columns
     rows = docs.select(F.struct(*names).alias("doc"), "doc_id", text_node())
     kept = classes(docs, least)
     rows = rows.join(kept, "node", "left").where(F.col("node").isNull() | F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         plain = rows.where(F.col("node").isNull() | F.col("class_id").isNull())
-        rows = rows.where("node is not null and class_id is not null").dropDuplicates(["class_id"]).unionByName(plain)
+        rows = rows.where("node is not null and class_id is not null").dropDuplicates(["root"]).unionByName(plain)
     return rows.select("doc.*")

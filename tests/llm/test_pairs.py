@@ -65,6 +65,13 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_unrelated_texts_of_one_doc_id_are_both_kept(spark):
+    own = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    rows = [(1, own[0]), (2, own[0]), (1, own[1]), (1, own[1]), (3, own[1] + " more"), (4, own[2])]
+    kept = dm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, own[0]), (1, own[1]), (4, own[2])]
+
+
 def test_no_rows(spark):
     assert dm.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert el.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
