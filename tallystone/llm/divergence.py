@@ -9,6 +9,11 @@ for some language both Jensen-Shannon distances are within their limits; limits
 widen with 1/sqrt(n), the noise of a histogram of n counts, and texts under the
 minimum lengths are not judged by the histogram concerned.
 
+The reach of the word rule: a text without any common word is at about 0.37 to
+0.39 from the references of sf0.1, so up to about 86 words no text can fail it,
+and junk of up to a few hundred words may pass. ``WORD_NOISE`` is also in the SQL
+of the query and defines its result.
+
 References are integer sums, so they do not depend on the order of rows. Their
 size is bounded: known languages x (classes + common words).
 
