@@ -4,16 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder and read from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; a temporary one is
-    made only where none is set, as in tests.
+    Where none is set, a local session (tests, one machine) gets a temporary one;
+    on a cluster that would be a folder of the driver's machine alone, so it is an
+    error there.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="staged-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            named = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared checkpoint folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
