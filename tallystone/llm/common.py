@@ -1,44 +1,51 @@
-"""Shared pieces of the corpus operators."""
+"""What the corpus operators share."""
 
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a run without ASCII white space.
+from ..staging import checkpoint_folder, staged
+
+#: Fixed value: a word is a run of characters that are no ASCII white space.
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 WORD = re.compile(WORD_CLASS)
+#: Bytes of an Arrow batch, unless the session sets its own: bounds what a worker holds of long texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that ``spark.checkpoint.dir`` names; make one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes. A limit that the session has set itself stays."""
+    spark = df.sparkSession
+    if not spark._jsparkSession.conf().contains(BATCH_SETTING):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows to the shared checkpoint folder and read them from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return staged(df)
+
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-def settle_table(df: DataFrame) -> DataFrame:
-    """The same for wide rows: a compressed Parquet table in the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a path of any of Spark's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
@@ -72,24 +79,35 @@ def hex_bits(digest, digits: int):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b of one orderable type).
 
-    Alternating large-star and small-star steps: every step replaces edges by
-    edges to the smallest neighbour, so after a few rounds each node hangs on the
-    smallest node of its component. Minima are pre-aggregated map-side and joined
-    back, so a hub with very many edges is never gathered in one task. It ends
-    when no node has two edges up or edges both ways. Returns node, root for
-    every node that has an edge to another node.
+    Each round maps every node to the least of itself and its neighbours and
+    contracts the graph by that map, until no edge is left; then the maps are
+    joined in turn. A star is done in one round. Minima are combined map-side. A
+    hub's edges are narrow rows that meet the map in a plain join of two written
+    tables, which adaptive execution splits, so a hub with very many edges is not
+    one task. Nodes should be hashes: then the least neighbour is a random one and
+    the graph shrinks by a factor each round, chains included.
+
+    Returns node, root (the least node of its component) for every node that has
+    an edge to another node.
     """
-    e = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    e = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    maps: list[DataFrame] = []
     for _ in range(rounds):
-        sides = e.select(F.col("a").alias("node"), F.lit(0).alias("up")).unionByName(e.select(F.col("b").alias("node"), F.lit(1).alias("up")))
-        sides = sides.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
-        if sides.where("up > 1 or (up = 1 and least = 0)").isEmpty():
-            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        down = both.join(low, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
-        linked = down.join(low, "a")
-        small = linked.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(linked.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        e = settle(small.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    raise RuntimeError("components did not settle")
+        if e.isEmpty():
+            break
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+        maps.append(up)
+        for end in ("a", "b"):
+            e = e.join(up.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end).drop(end)
+        e = settle(e.where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    else:
+        raise RuntimeError("components did not settle")
+    if not maps:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = maps.pop()
+    while maps:
+        top = found.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+        found = maps.pop().join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
+        found = settle(found) if maps else found
+    return found

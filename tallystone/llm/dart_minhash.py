@@ -9,22 +9,25 @@ coordinate is kept. A text throws darts until an expected ``k ln k + 2k`` have
 fallen, and twice as long if a coordinate is still empty. Two signatures agree
 in a coordinate with the weighted Jaccard similarity as probability.
 
-Bands of ``rows`` coordinates are joined. Equal texts count once. Within a band
-bucket every member is first paired with the bucket's smallest member only; pairs
-are checked exactly (weighted Jaccard over whole texts). Buckets whose members
-are then still in different components are compared in blocks: a task gets a
-block pair's texts, counts their common shingles by matrix products and returns
-edges that keep the links connected. So no candidate link is lost, and no group
-is expanded into its pairs. Chance: a pair of
-similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993.
+Texts are read once for their signatures, which are written (one row a document,
+200 bytes). Bands of ``rows`` coordinates are joined. Equal texts count once.
+Within a band bucket every member is first paired with the bucket's smallest
+member only; pairs are checked exactly (weighted Jaccard over whole texts). The
+pairs of a bucket's smallest member are split between tasks, and its text is sent
+once to each. Buckets whose members are then not known to be connected are
+compared in blocks: a task gets a block pair's texts, keeps their cells, counts
+common ones by matrix products and returns edges that keep the links connected.
+Blocks are bounded by the size of their texts. So no candidate link is lost, and
+no group is expanded into its pairs. Chance: a pair of similarity 0.8 shares a
+bucket with probability 1 - (1 - 0.8^5)^24 = 0.99993.
 
 Null text, or text without a word: in no class but its own, never linked. Null
 doc_id: the row is part of its text's class; a class whose ids are all null has
 class_id null and keeps its rows. Repeated rows get one class; rows that repeat
-the kept doc_id are kept with it. An empty table gives no rows. Extra columns are
-ignored.
+the kept doc_id are kept with it. A pair at exactly the least similarity links.
+Very long texts are read whole; a block holds one of them and little else. An
+empty table gives no rows. Extra columns are ignored, whatever their names.
 """
-
 from __future__ import annotations
 
 import math
@@ -33,17 +36,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, components, settle, settle_table, spanning
+from .common import WORD, components, in_batches, settle, spanning
 
 WORDS = 5
 LEAST = 0.8
 BANDS, ROWS = 24, 5
 CELLS_A_STEP = 150_000
+#: A block's size, and what its texts count: one, and one more for each CELLS_A_UNIT words.
 BLOCK = 512
-COLUMNS = 1 << 14
+CELLS_A_UNIT = 1024
+#: Pairs of one bucket's smallest member that are checked in one group.
+PAIRS = 2048
+COLUMNS = 1 << 12
+MOST_SEEN = 200_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +66,7 @@ class WordHashes(dict):
     """64-bit hash of a word. Forgets when large."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         found = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
@@ -167,138 +175,179 @@ def text_node():
     return F.when(has, F.substring(F.unhex(F.sha2("text", 256)), 1, 16)).alias("node")
 
 
+def own_id(name: str):
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def cells_of(text: str | None) -> np.ndarray:
+    return np.sort(unit_cells(shingles(text)))
+
+
+def signed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
+    """doc_id, node, cells (units of the text), keys (of its bands) of every row. A text that the task has just had has null keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had: set[bytes] = set()
+        for b in batches:
+            nodes, texts = b.column(1), b.column(2)
+            sizes, keys = np.zeros(b.num_rows, dtype=np.int64), [None] * b.num_rows
+            places, cells, size = [], [], 0
+            for i in range(b.num_rows):
+                node = nodes[i].as_py()
+                if node is None or node in had:
+                    continue
+                if len(had) >= MOST_SEEN:
+                    had.clear()
+                had.add(node)
+                own = unit_cells(shingles(texts[i].as_py()))
+                sizes[i] = len(own)
+                places.append(i)
+                cells.append(own)
+                size += len(own)
+                if size >= CELLS_A_STEP:
+                    fill(keys, places, cells)
+                    places, cells, size = [], [], 0
+            if cells:
+                fill(keys, places, cells)
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "node", "cells", "keys"])
+
+    def fill(keys: list, places: list[int], cells: list[np.ndarray]) -> None:
+        for i, own in zip(places, band_keys(signatures(cells, bands * rows), bands, rows), strict=True):
+            keys[i] = own
+
+    return in_batches(docs.select("doc_id", text_node(), "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, cells long, keys array<long>")
+
+
 def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough, by whole texts."""
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    both = both.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    """The pairs (a, b) whose texts are similar enough, by whole texts.
+
+    The pairs of one ``a`` are split into groups of about ``PAIRS``; its text comes
+    first in each group and is sent once to each.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    first = many.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
+    rest = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    rest = rest.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    number = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = first.unionByName(rest).repartition(number, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, cells = None, None
+        cells = None
         for batch in batches:
             keep = []
-            for i, (a, x, y) in enumerate(zip(batch["a"].to_pylist(), batch["a_text"], batch["b_text"], strict=True)):
-                if a != last:
-                    last, cells = a, np.sort(unit_cells(shingles(x.as_py())))
-                if similarity(cells, np.sort(unit_cells(shingles(y.as_py())))) >= least:
+            for i, (b, text) in enumerate(zip(batch["b"], batch["text"], strict=True)):
+                own = cells_of(text.as_py())
+                if not b.is_valid:
+                    cells = own
+                elif similarity(cells, own) >= least:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return both.select("a", "b", "a_text", "b_text").mapInArrow(run, "a binary, b binary")
+    return in_batches(dealt, run, "a binary, b binary")
 
 
 def across(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Edges (a, b) that connect the linked members of each bucket of ``rows`` (band_key, node, root).
+    """Edges (a, b) between the roots whose members are linked, of each bucket of ``rows`` (band_key, node, root, cells).
 
-    A bucket of more than ``BLOCK`` members is divided into pairs of blocks; each
-    is compared in one task by matrix products, and returns connecting edges only.
+    A bucket is divided into blocks by the size of its texts; each pair of blocks
+    that holds several roots is compared in one task by matrix products, and
+    returns connecting edges only.
     """
-    sizes = rows.groupBy("band_key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    key = ["band_key", "g1", "g2"]
+    sizes = rows.groupBy("band_key").agg(F.ceil(F.sum(1 + F.floor(F.col("cells") / CELLS_A_UNIT)) / BLOCK).cast("int").alias("parts"))
     met = rows.join(sizes, "band_key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.select("band_key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     met = met.select("band_key", F.least("own", "with").alias("g1"), F.greatest("own", "with").alias("g2"), "node", "root")
-    key = ["band_key", "g1", "g2"]
     several = met.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*key)
-    met = met.join(several, key, "left_semi").join(texts, "node")
+    met = met.join(several, key, "left_semi").join(texts.select("node", "text"), "node")
     many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = met.select(*key, "node", "text").repartition(many, *key).sortWithinPartitions(*key)
+    dealt = met.select(*key, "node", "root", "text").repartition(many, *key).sortWithinPartitions(*key)
 
-    def one(own: list[tuple[bytes, str]]) -> list[tuple[bytes, bytes]]:
-        i, j = links([np.sort(unit_cells(shingles(t))) for _, t in own], least)
-        return [(own[a][0], own[b][0]) for a, b in spanning(len(own), i, j)]
+    def one(nodes: list[bytes], roots: list[bytes], cells: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
+        i, j = links(cells, least)
+        place = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+        own = np.array([place[r] for r in roots])
+        apart = own[i] != own[j]
+        joined = spanning(len(place), own[i[apart]], own[j[apart]])
+        names = list(place)
+        return [(names[x], names[y]) for x, y in joined]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(out: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        last, own, out = None, [], []
+        last, own, out = None, ([], [], []), []
         for batch in batches:
-            for *at, node, text in zip(*(batch[c].to_pylist() for c in (*key, "node", "text")), strict=True):
+            places = zip(*(batch[c].to_pylist() for c in key), strict=True)
+            for at, node, root, text in zip(places, batch["node"], batch["root"], batch["text"], strict=True):
                 if at != last:
-                    out += one(own) if len(own) > 1 else []
-                    last, own = at, []
-                own.append((node, text))
+                    out += one(*own) if len(own[0]) > 1 else []
+                    last, own = at, ([], [], [])
+                for column, value in zip(own, (node.as_py(), root.as_py(), cells_of(text.as_py())), strict=True):
+                    column.append(value)
             if len(out) > 4096:
                 yield packed(out)
                 out = []
-        yield packed(out + (one(own) if len(own) > 1 else []))
-
-    return dealt.mapInArrow(run, "a binary, b binary")
-
-
-def buckets(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band_key, node of every text that has a word: the banded signatures. A task passes over texts that it has had."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        had: set[bytes] = set()
-        for b in batches:
-            fresh, cells, size = [], [], 0
-            for i, node in enumerate(b["node"].to_pylist()):
-                if node in had:
-                    continue
-                had.add(node)
-                fresh.append(i)
-                cells.append(unit_cells(shingles(b["text"][i].as_py())))
-                size += len(cells[-1])
-                if size >= CELLS_A_STEP:
-                    yield packed(b, fresh, cells)
-                    fresh, cells, size = [], [], 0
-            if cells:
-                yield packed(b, fresh, cells)
+        yield packed(out + (one(*own) if len(own[0]) > 1 else []))
 
-    def packed(b: pa.RecordBatch, fresh: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
-        keys = band_keys(signatures(cells, bands * rows), bands, rows)
-        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b["node"].take(pa.array(np.repeat(fresh, bands)))], names=["band_key", "node"])
+    return in_batches(dealt, run, "a binary, b binary")
 
-    return docs.select(text_node(), "text").where(F.col("node").isNotNull()).mapInArrow(run, "band_key long, node binary")
 
-
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame:
     """node, root, class_id of every distinct text that has a word: its component, and the smallest doc_id of that.
 
-    Components that share a doc_id may have the same class_id; root tells them apart.
-
-    Only texts that share a bucket with another text are moved, once.
+    ``rows``: what ``signed`` gives for ``docs``. Components that share a doc_id may
+    have the same class_id; root tells them apart. Only the texts that share a
+    bucket with another are kept for the comparisons.
     """
-    nodes = settle(docs.select("doc_id", text_node()).where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("low")))
-    member = settle(buckets(docs, bands, rows).distinct())
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("cells").alias("cells"), F.first("keys", ignorenulls=True).alias("keys"))
+    nodes = settle(nodes)
+    member = nodes.select(F.explode("keys").alias("band_key"), "node", "cells")
     low = member.groupBy("band_key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    member = settle(member.join(low, "band_key").select("band_key", "n", "a", F.col("node").alias("b")))
+    member = settle(member.join(low, "band_key").select("band_key", "n", "a", F.col("node").alias("b"), "cells"))
     pairs = settle(member.where("a <> b").select("a", "b").distinct())
-    involved = member.select(F.col("b").alias("node")).distinct().join(nodes, "node").select(F.col("node").alias("k_node"), F.col("low").alias("k_low"))
-    named = docs.select("doc_id", text_node(), "text")
-    texts = named.join(involved, (F.col("node") == F.col("k_node")) & F.col("doc_id").eqNullSafe(F.col("k_low")))
-    texts = settle_table(texts.groupBy("node").agg(F.first("text").alias("text")))
+    involved = member.select(F.col("b").alias("node")).distinct().join(nodes.select("node", own_id("low").alias("id")), "node")
+    texts = docs.select(text_node(), own_id("doc_id").alias("id"), "text").join(involved, ["node", "id"])
+    texts = settle(texts.groupBy("node", "id").agg(F.first("text").alias("text")))
     found = settle(checked(pairs, texts, least))
-    roots = components(found)
+    roots = settle(components(found))
     # members that are still apart from others of their bucket
-    state = member.where("n > 2").join(roots.select(F.col("node").alias("b"), "root"), "b", "left").select("band_key", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"))
+    state = member.where("n > 2").join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
+    state = settle(state.select("band_key", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), "cells"))
     apart = state.groupBy("band_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band_key")
-    more = settle(across(settle(state.join(apart, "band_key", "left_semi")), texts, least))
-    placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    more = settle(across(state.join(apart, "band_key", "left_semi"), texts, least))
+    placed = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():
         # the components that these edges join: the graph of the roots is enough
-        for end in ("a", "b"):
-            more = more.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
-        top = components(more.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")))
-        placed = placed.join(top.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", "low", F.coalesce("top", "root").alias("root"))
-    ids = placed.groupBy("root").agg(F.min("low").alias("class_id"))
+        top = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        placed = placed.join(top, "root", "left").select("node", "low", F.coalesce("top", "root").alias("root"))
+    placed = settle(placed)
+    ids = settle(placed.groupBy("root").agg(F.min("low").alias("class_id")))
     return settle(placed.join(ids, "root").select("node", "root", "class_id"))
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, kept of every row."""
-    found = docs.select("doc_id", text_node()).join(classes(docs, least, bands, rows), "node", "left")
-    own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
-    return found.select("doc_id", own.alias("class_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+    own = settle(signed(docs, bands, rows))
+    found = own.select("doc_id", "node").join(classes(docs, own, least), "node", "left")
+    class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    return found.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, class_id.isNull()).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` with one document of each class. Rows of one class that repeat its doc_id count as one document."""
+    """The rows of ``docs`` with one document of each class, the one with its smallest doc_id.
+
+    Of rows of one class that share that doc_id the least one by its columns' text
+    stays, so reruns agree. Rows of no class, or of one without a doc_id, all stay.
+    """
     names = docs.columns
+    own = settle(signed(docs, BANDS, ROWS))
+    kept = classes(docs, own, least)
     rows = docs.select(F.struct(*names).alias("doc"), "doc_id", text_node())
-    kept = classes(docs, least)
     rows = rows.join(kept, "node", "left").where(F.col("node").isNull() | F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        plain = rows.where(F.col("node").isNull() | F.col("class_id").isNull())
-        rows = rows.where("node is not null and class_id is not null").dropDuplicates(["root"]).unionByName(plain)
+    if not own.groupBy("doc_id").count().where("count > 1").isEmpty():
+        plain = F.col("node").isNull() | F.col("class_id").isNull()
+        order = Window.partitionBy("root").orderBy(F.xxhash64("doc"), F.to_json("doc"))
+        single = rows.where(~plain).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        rows = single.unionByName(rows.where(plain))
     return rows.select("doc.*")
