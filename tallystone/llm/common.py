@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..staging import checkpoint_folder, staged
 
@@ -24,11 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of bounded bytes. A limit that the session has set itself stays."""
-    spark = df.sparkSession
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, unless the session has set a limit itself."""
     if not spark._jsparkSession.conf().contains(BATCH_SETTING):
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches of bounded bytes."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -84,8 +89,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     joined in turn. A star is done in one round. Minima are combined map-side. A
     hub's edges are narrow rows that meet the map in a plain join of two written
     tables, which adaptive execution splits, so a hub with very many edges is not
-    one task. Nodes should be hashes: then the least neighbour is a random one and
-    the graph shrinks by a factor each round, chains included.
+    one task. Where nodes are hashes the least neighbour is a random one and the
+    graph shrinks by a factor each round; from the third round on a map is applied
+    twice, so that chains of any order shrink too.
 
     Returns node, root (the least node of its component) for every node that has
     an edge to another node.
@@ -97,6 +103,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
         up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+        if len(maps) >= 2:
+            # long chains: two steps at once
+            far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
+            up = settle(up.join(far, "root").select("node", F.col("far").alias("root")))
         maps.append(up)
         for end in ("a", "b"):
             e = e.join(up.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end).drop(end)
