@@ -3,52 +3,63 @@
 Base rules count words, symbols, repeated lines and repeated 8-word windows of
 the whole text and fail very short or very repetitive documents. Documents that
 pass are compared with references of each language: histograms of character
-classes and of common words, learned over all documents of the language that
-pass the base rules (every document has the same weight). A document is kept if
-for some language both Jensen-Shannon distances are within their limits; limits
-widen with 1/sqrt(n), the noise of a histogram of n counts, and texts under the
-minimum lengths are not judged by the histogram concerned.
-
-The reach of the word rule: a text without any common word is at about 0.37 to
-0.39 from the references of sf0.1, so up to about 86 words no text can fail it,
-and junk of up to a few hundred words may pass. ``WORD_NOISE`` is also in the SQL
-of the query and defines its result.
-
-References are integer sums, so they do not depend on the order of rows. Their
-size is bounded: known languages x (classes + common words).
-
-Null text: no words, base_failed. Empty text: the same. Without references (no
-document passes) only base rules decide. Repeated rows get equal results; extra
-columns are ignored.
+classes and of the language's common words, learned from the corpus itself.
+
+A language's common words are the ``COMMON`` words that stand in most of its
+documents of ``LEAST_WORDS`` words or more (bare of punctuation, lower case, up to
+``LONGEST`` characters; of equals the first by code point). Its reference is the
+mean histogram of its documents that pass the base rules (every document has the
+same weight); a language needs ``MIN_DOCS`` of them. A document is kept if for some
+language both Jensen-Shannon distances are within their limits. A histogram of n
+counts is away from its own source by a squared distance of about
+(bins - 1) / (8 ln 2 n), so squared limits widen by that; texts under the minimum
+lengths are not judged by the histogram concerned. A document that is
+labelled with a language without a reference is not judged by references, nor is
+any document of a corpus without labels.
+
+The reach of the word rule: where 30% of a language's words are common ones, a text
+without any is 0.4 away from the reference, which the rule finds from 50 words on.
+
+Counts of words and the references are integer sums, so they do not depend on the
+order of rows. What the driver gets is bounded: languages (``MOST_LANGUAGES`` at
+most, else an error) x (classes + common words).
+
+Null text: no words, base_failed. Empty text: the same. Null doc_id: returned as it
+is. Null lang: compared with every reference, part of none. Very long texts are
+counted whole. Ties: a distance at the limit is within. Repeated rows count each
+and get equal results; an empty table gives no rows. Extra columns are ignored by
+``judge``, whatever their names, and kept by ``good``.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, settle
+from .common import WORD, bounded_batches, in_batches, settle
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: Frequent function words of the languages with a reference.
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
-    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which",
-    "es": "de la que el en y a los del se las por un para con no una su al es lo como más pero sus le ya o este sí",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux être",
-}
+LEAST_WORDS = 20
+EDGE = ".,;:!?'’\"()"
+COMMON, LONGEST, MIN_DOCS = 32, 40, 20
+MOST_LANGUAGES = 4096
+#: Words that a task counts before it hands its counts on; words whose bare forms are kept.
+COUNTED, KEPT_FORMS = 400_000, 50_000
 CLASSES = 8
 SHARE = 1_000_000
 MIN_CHARS, MIN_WORDS = 100, 40
-CHAR_LIMIT, CHAR_NOISE = 0.27, 1.2
-WORD_LIMIT, WORD_NOISE = 0.12, 2.4
+CHAR_LIMIT, WORD_LIMIT = 0.29, 0.22
+#: Squared distance that n draws from a histogram of so many bins are away from it, times n.
+CHAR_NOISE, WORD_NOISE = ((bins - 1) / (8 * math.log(2)) for bins in (CLASSES, COMMON + 1))
 
 
 @lru_cache(maxsize=1)
@@ -58,7 +69,7 @@ def classes() -> np.ndarray:
 
     kinds = {"Ll": 0, "Lu": 1, "Lt": 1, "Nd": 3}
     out = np.full(0x110000, 7, dtype=np.uint8)
-    for c in range(0x30000):
+    for c in range(0x110000):
         k = unicodedata.category(chr(c))
         out[c] = kinds.get(k, 2 if k[0] in "LM" else 3 if k[0] == "N" else 4 if k[0] == "Z" else 6 if k[0] in "PS" else 7)
     out[[9, 10, 11, 12, 13]] = 4
@@ -66,33 +77,23 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def common_words() -> tuple[list[str], dict[str, np.ndarray]]:
-    """All common words in order, and for each language the places of its own."""
-    words = sorted({w for own in COMMON.values() for w in own.split()})
-    place = {w: i for i, w in enumerate(words)}
-    return words, {k: np.array([place[w] for w in own.split()]) for k, own in COMMON.items()}
-
-
-class Places(dict):
-    """Place of a word's bare lower-case form among the common words, the last place for others. Forgets when large."""
+class Forms(dict):
+    """A word's bare lower-case form. Forgets when large."""
 
-    def __init__(self):
-        super().__init__()
-        self.own = {w: i for i, w in enumerate(common_words()[0])}
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 200_000:
+    def __missing__(self, word: str) -> str:
+        if len(self) >= KEPT_FORMS:
             self.clear()
-        found = self.own.get(word.strip(".,;:!?'’\"()").lower(), len(self.own))
-        if len(word) <= 40:
+        found = word.strip(EDGE).lower()
+        if len(word) <= LONGEST:
             self[word] = found
         return found
 
 
-@lru_cache(maxsize=1)
-def word_places() -> Places:
-    return Places()
+FORMS = Forms()
+
+
+def word_forms(words: list[str]) -> list[str]:
+    return list(map(FORMS.__getitem__, words))
 
 
 def repeat_words(words: list[str]) -> int:
@@ -133,149 +134,170 @@ def base(text: str | None) -> tuple[list[str], tuple[int, int, int, int, int]]:
     return words, (len(words), sum(map(len, words)), sum(text.count(c) for c in SYMBOLS), dups, repeat_words(words))
 
 
-def failed(n_words: int, n_repeat: int) -> bool:
-    return n_words < 20 or 100 * n_repeat > 30 * n_words
-
-
-def histograms(text: str, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the character classes, and of the common words (the last: all other words)."""
+def class_counts(text: str) -> np.ndarray:
+    """Counts of the character classes."""
     chars = np.zeros(CLASSES, dtype=np.int64)
     for at in range(0, len(text), 1 << 20):
         code = np.frombuffer(text[at : at + (1 << 20)].encode("utf-32-le"), dtype=np.uint32)
         chars += np.bincount(classes()[code], minlength=CLASSES)
-    places = word_places()
-    at = np.fromiter(map(places.__getitem__, words), dtype=np.int64, count=len(words))
-    return chars, np.bincount(at, minlength=len(places.own) + 1)
+    return chars
+
+
+def word_counts(words: list[str], place: dict[str, int]) -> dict[int, int]:
+    """How often each common word occurs, by its place."""
+    counts = Counter(word_forms(words))
+    return {place[w]: counts[w] for w in counts.keys() & place.keys()}
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance, 0 to 1."""
-    p, q = p / p.sum(), q / q.sum()
+def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits (the distance squared) of each row of ``p`` and the counts ``q``."""
+    p, q = p / p.sum(axis=-1, keepdims=True), q / q.sum()
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         parts = np.where(p > 0, p * np.log2(p / m), 0) + np.where(q > 0, q * np.log2(q / m), 0)
-    return float(np.sqrt(max(0.0, parts.sum() / 2)))
-
-
-def own_words(common: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The histogram over one language's common words and all others."""
-    own = common[places]
-    return np.append(own, common.sum() - own.sum())
-
-
-def share_row(chars: np.ndarray, common: np.ndarray) -> np.ndarray:
-    return np.concatenate([chars * SHARE // chars.sum(), common * SHARE // common.sum()])
-
-
-def gathered(sums: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """References from partial sums (lang, place, share). Known languages only, so the driver gets a table of fixed size."""
-    out: dict[str, np.ndarray] = {}
-    for lang, place, share in sums.groupBy("lang", "place").agg(F.sum("share").alias("share")).collect():
-        out.setdefault(lang, np.zeros(CLASSES + len(common_words()[0]) + 1))[place] = share
-    return {k: (v[:CLASSES], own_words(v[CLASSES:], common_words()[1][k])) for k, v in sorted(out.items())}
-
-
-def partial(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
-    for lang, row in sums.items():
-        yield pd.DataFrame({"lang": lang, "place": np.arange(len(row)), "share": row})
-
-
-SUMS = "lang string, place long, share long"
-
-
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Per known language: the mean character-class and common-word shares of its documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                words, (n_words, *_, n_repeat) = base(text)
-                if not failed(n_words, n_repeat):
-                    sums[lang] = sums.get(lang, 0) + share_row(*histograms(text, words))
-        yield from partial(sums)
-
-    return gathered(docs.select("lang", "text").where(F.col("lang").isin(sorted(COMMON)) & F.col("text").isNotNull()).mapInPandas(run, SUMS))
-
-
-def distances(chars: np.ndarray, common: np.ndarray, refs: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, float]]:
-    """For each reference language the distance of character classes and of common words, noise taken off."""
-    n_chars, n_words = int(chars.sum()), int(common.sum())
-    return [
-        (
-            distance(chars, r_chars) - CHAR_NOISE / np.sqrt(n_chars) if n_chars >= MIN_CHARS else 0.0,
-            distance(own_words(common, common_words()[1][k]), r_words) - WORD_NOISE / np.sqrt(n_words) if n_words >= MIN_WORDS else 0.0,
-        )
-        for k, (r_chars, r_words) in refs.items()
-    ]
-
-
-def within(far: list[tuple[float, float]]) -> bool:
-    return not far or any(c <= CHAR_LIMIT and w <= WORD_LIMIT for c, w in far)
-
-
-def verdict(text: str | None, refs: dict) -> tuple[int, int, int, int, int, bool, bool]:
-    words, counts = base(text)
-    if failed(counts[0], counts[4]):
-        return *counts, True, False
-    return *counts, False, within(distances(*histograms(text, words), refs))
-
-
-COLUMNS = {"n_words": "long", "word_chars": "long", "n_symbols": "long", "n_dup_lines": "long", "n_repeat_words": "long", "base_failed": "boolean", "kept": "boolean"}
-
-
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts, base_failed and, unless it failed, both histograms (binary, 32-bit counts)."""
-    names = [*list(COLUMNS)[:5], "base_failed", "chars", "common"]
+    return np.maximum(0.0, parts.sum(axis=-1) / 2)
+
+
+class References:
+    """The common words' places, and for each language the places of its own words and its two mean histograms."""
+
+    def __init__(self, words: dict[str, list[str]], sums: dict[str, tuple[int, np.ndarray, dict[int, int]]]):
+        """``words``: by language; ``sums``: by language the documents, and the sums of both kinds of shares."""
+        self.place = places(words)
+        self.known: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for lang, (n, chars, common) in sorted(sums.items()):
+            if n >= MIN_DOCS:
+                own = np.array([self.place[w] for w in words.get(lang, [])], dtype=np.int64)
+                mine = np.array([common.get(int(k), 0) for k in own], dtype=np.float64)
+                self.known[lang] = own, chars.astype(np.float64), np.append(mine, common.get(-1, 0) - mine.sum())
+
+    def near(self, langs: list[str | None], chars: np.ndarray, n_words: np.ndarray, common: list[dict[int, int]]) -> np.ndarray:
+        """Whether each of several documents is near some reference, or is not to be judged."""
+        n = len(langs)
+        ok = np.array([lang is not None and lang not in self.known for lang in langs], dtype=bool) if self.known else np.ones(n, dtype=bool)
+        counts = np.zeros((n, len(self.place)), dtype=np.float64)
+        for i, found in enumerate(common):
+            counts[i, list(found)] = list(found.values())
+        n_chars = chars.sum(axis=1)
+        for own, r_chars, r_words in self.known.values():
+            mine = counts[:, own]
+            mine = np.column_stack([mine, n_words - mine.sum(axis=1)])
+            by_chars = (n_chars < MIN_CHARS) | (divergence(chars, r_chars) <= CHAR_LIMIT**2 + CHAR_NOISE / n_chars)
+            by_words = (n_words < MIN_WORDS) | (divergence(mine, r_words) <= WORD_LIMIT**2 + WORD_NOISE / n_words)
+            ok |= by_chars & by_words
+        return ok
+
+
+def places(words: dict[str, list[str]]) -> dict[str, int]:
+    return {w: i for i, w in enumerate(sorted({w for own in words.values() for w in own}))}
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """By language the words that stand in most of its documents. Counts are combined task by task, then by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter] = {}
         for b in batches:
-            rows = []
-            for value in b.column(2):
-                text = value.as_py()
-                words, counts = base(text)
-                bad = failed(counts[0], counts[4])
-                rows.append((*counts, bad, *([None, None] if bad else [h.astype("<i4").tobytes() for h in histograms(text, words)])))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, columns, kinds)], names=["doc_id", "lang", *names])
-
-    kinds = dict(docs.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, " + ", ".join(f"{n} {COLUMNS.get(n, 'binary')}" for n in names)
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
+            for lang, text in zip(b.column(0), b.column(1), strict=True):
+                words = WORD.findall(text.as_py())
+                if len(words) >= LEAST_WORDS:
+                    counts.setdefault(lang.as_py(), Counter()).update(set(word_forms(words)))
+            if sum(map(len, counts.values())) > COUNTED:
+                yield packed(counts)
+                counts = {}
+        yield packed(counts)
+
+    def packed(counts: dict[str, Counter]) -> pa.RecordBatch:
+        rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items() if 0 < len(w) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+
+    rows = in_batches(docs.select("lang", "text").where("lang is not null and text is not null"), run, "lang string, word string, n long")
+    rows = rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("place") <= COMMON)
+    found: dict[str, list[str]] = {}
+    for r in first.select("lang", "word").limit(MOST_LANGUAGES * COMMON + 1).collect():
+        found.setdefault(r["lang"], []).append(r["word"])
+    if len(found) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    return found
 
 
-def unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, dtype="<i4").astype(np.int64)
+def failed(n_words: int, n_repeat: int) -> bool:
+    return n_words < LEAST_WORDS or 100 * n_repeat > 30 * n_words
+
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MEASURES = T.StructType([T.StructField(n, T.LongType()) for n in COUNTS] + [T.StructField("base_failed", T.BooleanType()), T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("common", T.MapType(T.IntegerType(), T.LongType()))])
+
+
+def measured(docs: DataFrame, words: dict[str, list[str]], whole: bool = False) -> DataFrame:
+    """doc_id (or ``whole`` rows as doc), lang, the base counts, base_failed and, unless it failed, both histograms: chars, and common (place -> count)."""
+    place = places(words)
+    bounded_batches(docs.sparkSession)
+
+    @F.arrow_udf(MEASURES)
+    def measure(texts: pa.Array) -> pa.Array:
+        rows = []
+        for value in texts:
+            text = value.as_py()
+            own, counts = base(text)
+            bad = failed(counts[0], counts[4])
+            rows.append((*counts, bad, None if bad else class_counts(text), None if bad else list(word_counts(own, place).items())))
+        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64()), pa.map_(pa.int32(), pa.int64())]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=MEASURES.names)
+
+    kept = F.struct(*docs.columns).alias("doc") if whole else F.col("doc_id")
+    return docs.select(kept, F.col("lang").cast("string").alias("lang"), measure("text").alias("_m")).select("doc" if whole else "doc_id", "lang", "_m.*")
+
+
+def references(rows: DataFrame, words: dict[str, list[str]]) -> References:
+    """The languages' references, from what ``measured`` gives. Shares are whole millionths, so sums are exact."""
+    good = rows.where("lang is not null and not base_failed")
+    total = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    share = good.select("lang", "n_words", F.explode(F.map_concat("common", F.create_map(F.lit(-1), F.col("n_words")))).alias("k", "v"))
+    share = share.select("lang", "k", F.expr(f"v * {SHARE} div n_words").alias("v"))
+    chars = good.select("lang", total.alias("n"), F.posexplode("chars").alias("k", "v")).select("lang", (-2 - F.col("k")).alias("k"), F.expr(f"v * {SHARE} div n").alias("v"))
+    sums: dict[str, tuple[int, np.ndarray, dict[int, int]]] = {}
+    for r in share.unionByName(chars).groupBy("lang", "k").agg(F.sum("v").alias("v"), F.count("*").alias("n")).collect():
+        n, own, common = sums.get(r["lang"], (0, np.zeros(CLASSES), {}))
+        if r["k"] <= -2:
+            own[-2 - r["k"]] = r["v"]
+        else:
+            common[r["k"]] = r["v"]
+        sums[r["lang"]] = max(n, r["n"]), own, common
+    return References(words, sums)
+
+
+def judged(rows: DataFrame, refs: References, *names: str) -> DataFrame:
+    """The columns ``names`` of what ``measured`` gives, and kept."""
+    shared = rows.sparkSession.sparkContext.broadcast(refs)
+    bounded_batches(rows.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def near(lang: pa.Array, n_words: pa.Array, chars: pa.Array, common: pa.Array) -> pa.Array:
+        out = []
+        for at in range(0, len(lang), 1024):
+            own = (x.slice(at, 1024).to_pylist() for x in (lang, n_words, chars, common))
+            lang_, n, c, w = own
+            left = [i for i, x in enumerate(c) if x is not None]
+            kept = np.zeros(len(n), dtype=bool)
+            if left:
+                kept[left] = shared.value.near([lang_[i] for i in left], np.array([c[i] for i in left], dtype=np.float64), np.array([n[i] for i in left], dtype=np.float64), [dict(w[i]) for i in left])
+            out.append(kept)
+        return pa.array(np.concatenate(out) if out else [], pa.bool_())
+
+    return rows.select(*names, near("lang", "n_words", "chars", "common").alias("_kept"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept of every row. Texts are read once; their small histograms are written and read again."""
-    rows = settle(measured(docs))
-
-    def sum_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            for lang, chars, common in zip(b["lang"], b["chars"], b["common"], strict=True):
-                sums[lang] = sums.get(lang, 0) + share_row(unpacked(chars), unpacked(common))
-        yield from partial(sums)
-
-    known = rows.where(F.col("lang").isin(sorted(COMMON)) & ~F.col("base_failed")).select("lang", "chars", "common")
-    refs = gathered(known.mapInPandas(sum_up, SUMS))
-
-    @F.pandas_udf("boolean")
-    def near(chars: pd.Series, common: pd.Series) -> pd.Series:
-        return pd.Series([c is not None and within(distances(unpacked(c), unpacked(w), refs)) for c, w in zip(chars, common, strict=True)], dtype=bool)
-
-    return rows.select("doc_id", *list(COLUMNS)[:6], near("chars", "common").alias("kept"))
+    """doc_id, the base counts, base_failed and kept of every row. Their small histograms are written and read again."""
+    words = common_words(docs)
+    rows = settle(measured(docs, words))
+    return judged(rows, references(rows, words), "doc_id", *COUNTS, "base_failed").withColumnRenamed("_kept", "kept")
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep."""
-    refs = references(docs)
-
-    @F.pandas_udf("boolean")
-    def keep(text: pd.Series) -> pd.Series:
-        return pd.Series([verdict(t, refs)[-1] for t in text], dtype=bool)
-
-    return docs.where(keep("text"))
+    """The rows of ``docs`` that the rules keep. They are written with their histograms, so texts are measured once."""
+    words = common_words(docs)
+    rows = settle(measured(docs, words, whole=True))
+    return judged(rows, references(rows, words), "doc").where("_kept").select("doc.*")

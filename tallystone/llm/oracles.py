@@ -2,46 +2,52 @@
 
 from __future__ import annotations
 
-from .divergence import CHAR_LIMIT, CHAR_NOISE, COMMON, MIN_CHARS, MIN_WORDS, WORD_LIMIT, WORD_NOISE
+from .divergence import CHAR_LIMIT, CHAR_NOISE, COMMON, LEAST_WORDS, LONGEST, MIN_CHARS, MIN_DOCS, MIN_WORDS, WORD_LIMIT, WORD_NOISE
 
-_VALUES = ", ".join(f"('{lang}', '{w}')" for lang, words in COMMON.items() for w in words.split())
 _CLASSES = [r"\p{Ll}", r"\p{Lu}\p{Lt}", r"\p{Lm}\p{Lo}\p{M}", r"\p{N}", r"\p{Z}\x09-\x0D", r".,;:!?''’\"()\-"]
 _COUNT = ", ".join(f"length(t) - length(regexp_replace(t, '[{c}]', '', 'g')) AS c{i}" for i, c in enumerate(_CLASSES))
 _EDGE = r".,;:!?''’\"()"
+_BITS = "greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)"
 
 OP1 = rf"""
-WITH common(lang, w) AS (VALUES {_VALUES}),
-d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
-cut AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT rid, lang, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+forms AS (SELECT rid, lang, lower(regexp_replace(w, '^[{_EDGE}]+|[{_EDGE}]+$', '', 'g')) AS w, count(*) AS n FROM (SELECT rid, lang, len(ws) AS n_words, unnest(ws) AS w FROM cut) WHERE n_words >= {LEAST_WORDS} GROUP BY ALL),
+spread AS (SELECT lang, w, count(*) AS n FROM forms WHERE lang IS NOT NULL AND length(w) BETWEEN 1 AND {LONGEST} GROUP BY lang, w),
+common AS (SELECT lang, w FROM (SELECT lang, w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS place FROM spread) WHERE place <= {COMMON}),
 places AS (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM cut WHERE len(ws) > 8),
 wins AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS key FROM places),
 twice AS (SELECT rid, unnest(range(i, i + 8)) AS pos FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, key) AS n FROM wins) WHERE n > 1),
 repeats AS (SELECT rid, count(DISTINCT pos) AS n FROM twice GROUP BY rid),
 lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 base AS (
-  SELECT d.rid, doc_id, lang, t, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  SELECT d.rid, doc_id, d.lang, t, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
   FROM d JOIN cut USING (rid) LEFT JOIN lines l USING (rid) LEFT JOIN repeats r USING (rid)),
-judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+judged AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+langs AS (SELECT lang FROM judged WHERE NOT base_failed AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {MIN_DOCS}),
 classes AS (SELECT rid, {_COUNT}, length(t) - length(regexp_replace(t, '[\p{{P}}\p{{S}}]', '', 'g')) - (length(t) - length(regexp_replace(t, '[{_CLASSES[5]}]', '', 'g'))) AS c6, length(t) AS n FROM judged WHERE NOT base_failed),
 chars AS (SELECT rid, unnest(range(8)) AS bin, unnest([c0, c1, c2, c3, c4, c5, c6, n - c0 - c1 - c2 - c3 - c4 - c5 - c6]) AS n FROM classes),
-bare AS (SELECT rid, lower(regexp_replace(w, '^[{_EDGE}]+|[{_EDGE}]+$', '', 'g')) AS w FROM (SELECT rid, unnest(ws) AS w FROM cut JOIN judged USING (rid) WHERE NOT base_failed)),
-counts AS (SELECT rid, CASE WHEN w IN (SELECT w FROM common) THEN w ELSE '' END AS w, count(*) AS n FROM bare GROUP BY ALL),
-char_refs AS (SELECT lang, bin, CAST(sum(chars.n * 1000000 // classes.n) AS DOUBLE) AS r FROM chars JOIN classes USING (rid) JOIN judged USING (rid) WHERE lang IN (SELECT lang FROM common) GROUP BY lang, bin),
-word_sums AS (SELECT lang, w, sum(n * 1000000 // n_words) AS r FROM counts JOIN judged USING (rid) WHERE lang IN (SELECT lang FROM common) GROUP BY lang, w),
+counts AS (SELECT rid, f.w, n FROM forms f JOIN judged USING (rid) WHERE NOT base_failed AND w IN (SELECT w FROM common)),
+char_refs AS (SELECT lang, bin, CAST(sum(chars.n * 1000000 // classes.n) AS DOUBLE) AS r FROM chars JOIN classes USING (rid) JOIN judged USING (rid) JOIN langs USING (lang) GROUP BY lang, bin),
+own_refs AS (SELECT c.lang, c.w, coalesce(r, 0) AS r FROM common c JOIN langs USING (lang) LEFT JOIN (SELECT j.lang, k.w, sum(k.n * 1000000 // j.n_words) AS r FROM counts k JOIN judged j USING (rid) GROUP BY ALL) s ON s.lang = c.lang AND s.w = c.w),
 word_refs AS (
-  SELECT s.lang, CASE WHEN c.w IS NULL THEN '' ELSE s.w END AS w, CAST(sum(r) AS DOUBLE) AS r FROM word_sums s LEFT JOIN common c ON c.lang = s.lang AND c.w = s.w GROUP BY ALL),
+  SELECT lang, w, CAST(r AS DOUBLE) AS r FROM own_refs
+  UNION ALL SELECT lang, '', CAST(1000000 * docs - coalesce(own, 0) AS DOUBLE) FROM (SELECT lang, count(*) AS docs FROM judged JOIN langs USING (lang) WHERE NOT base_failed GROUP BY lang) LEFT JOIN (SELECT lang, sum(r) AS own FROM own_refs GROUP BY lang) USING (lang)),
+good AS (SELECT rid, lang, t, n_words FROM judged WHERE NOT base_failed),
+own_words AS (SELECT g.rid, c.lang, c.w, coalesce(k.n, 0) AS n FROM good g CROSS JOIN (SELECT * FROM common JOIN langs USING (lang)) c LEFT JOIN counts k ON k.rid = g.rid AND k.w = c.w),
+own_counts AS (
+  SELECT rid, lang, w, n FROM own_words
+  UNION ALL SELECT g.rid, l.lang, '', g.n_words - coalesce(o.n, 0) FROM good g CROSS JOIN langs l LEFT JOIN (SELECT rid, lang, sum(n) AS n FROM own_words GROUP BY rid, lang) o ON o.rid = g.rid AND o.lang = l.lang),
 char_pairs AS (SELECT rid, lang, n / sum(n) OVER (PARTITION BY rid, lang) AS p, r / sum(r) OVER (PARTITION BY rid, lang) AS q FROM chars JOIN char_refs USING (bin)),
-own_counts AS (SELECT rid, l.lang, CASE WHEN c.w IS NULL THEN '' ELSE k.w END AS w, sum(n) AS n FROM counts k CROSS JOIN (SELECT DISTINCT lang FROM word_refs) l LEFT JOIN common c ON c.lang = l.lang AND c.w = k.w GROUP BY ALL),
-every AS (SELECT rid, lang, w FROM (SELECT DISTINCT rid FROM counts) CROSS JOIN (SELECT DISTINCT lang, w FROM word_refs UNION SELECT lang, w FROM own_counts)),
-word_pairs AS (SELECT e.rid, e.lang, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY e.rid, e.lang) AS p, coalesce(r, 0) / sum(coalesce(r, 0)) OVER (PARTITION BY e.rid, e.lang) AS q
-  FROM every e LEFT JOIN own_counts USING (rid, lang, w) LEFT JOIN word_refs USING (lang, w)),
-char_far AS (SELECT rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM char_pairs GROUP BY rid, lang),
-word_far AS (SELECT rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS far FROM word_pairs GROUP BY rid, lang),
+word_pairs AS (SELECT rid, lang, n / sum(n) OVER (PARTITION BY rid, lang) AS p, r / sum(r) OVER (PARTITION BY rid, lang) AS q FROM own_counts JOIN word_refs USING (lang, w)),
+char_far AS (SELECT rid, lang, {_BITS} AS far FROM char_pairs GROUP BY rid, lang),
+word_far AS (SELECT rid, lang, {_BITS} AS far FROM word_pairs GROUP BY rid, lang),
 near AS (
-  SELECT rid, bool_or((length(t) < {MIN_CHARS} OR c.far - {CHAR_NOISE} / sqrt(length(t)) <= {CHAR_LIMIT}) AND (n_words < {MIN_WORDS} OR w.far - {WORD_NOISE} / sqrt(n_words) <= {WORD_LIMIT})) AS ok
-  FROM char_far c JOIN word_far w USING (rid, lang) JOIN judged USING (rid) GROUP BY rid)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(ok, true) AS kept
+  SELECT rid, bool_or((length(t) < {MIN_CHARS} OR c.far <= {CHAR_LIMIT**2} + {CHAR_NOISE} / length(t)) AND (n_words < {MIN_WORDS} OR w.far <= {WORD_LIMIT**2} + {WORD_NOISE} / n_words)) AS ok
+  FROM char_far c JOIN word_far w USING (rid, lang) JOIN good USING (rid) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (coalesce(ok, true) OR (lang IS NOT NULL AND lang NOT IN (SELECT lang FROM langs))) AS kept
 FROM judged LEFT JOIN near USING (rid)
 """
 
@@ -107,13 +113,15 @@ share AS (
      WHERE (total - 3 * (full_size - s_size)) * w <= 3 * s_size * (all_w - full_w + w)
      ORDER BY r LIMIT 1), 0) AS s),
 plan AS (SELECT source, s_size, CASE WHEN s * w > 3 * s_size THEN 3.0 * s_size ELSE s * w END AS target FROM each, share),
+named AS (
+  SELECT rows.doc_id, rows.source, size, key, s_size, target, CAST(floor(target) AS BIGINT) AS words, count(*) OVER (PARTITION BY rows.source, key, rows.doc_id, size) AS copies
+  FROM rows JOIN plan ON rows.source IS NOT DISTINCT FROM plan.source),
 cut AS (
-  SELECT rows.doc_id, size, s_size, target, CAST(floor(target) AS BIGINT) AS words,
-    coalesce(sum(size) OVER (PARTITION BY rows.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
-  FROM rows JOIN plan ON rows.source IS NOT DISTINCT FROM plan.source)
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) - size * copies AS ahead
+  FROM named)
 SELECT doc_id, size, s_size AS source_size, CAST(target AS DOUBLE) AS target,
   CAST(CASE WHEN s_size > 0 THEN words // s_size ELSE 0 END * size
-    + greatest(0, least(size, words - CASE WHEN s_size > 0 THEN words // s_size ELSE 0 END * s_size - ahead)) AS BIGINT) AS taken
+    + greatest(0, least(size, (words - CASE WHEN s_size > 0 THEN words // s_size ELSE 0 END * s_size - ahead) // copies)) AS BIGINT) AS taken
 FROM cut
 """
 
