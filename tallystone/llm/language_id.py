@@ -1,10 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Letters are lower-cased, everything else is a blank, and every run of 1 to 3
-characters without two blanks in a row is hashed to one of ``2 ** bits`` buckets.
-Training sums bucket counts per language (partition by partition in numpy, then
-one aggregate); the matrix of log-probabilities is broadcast and a batch's
-documents are scored through their non-empty buckets only.
+A text is lower-cased as a whole, letters stay, everything else is a blank, as are
+its two ends, and every run of 1 to 3 characters without two blanks in a row is
+hashed to one of ``2 ** bits`` buckets. Training sums bucket counts per language
+(partition by partition in numpy, then one aggregate); the matrix of
+log-probabilities is broadcast. The texts of a batch are put one behind the other
+and scored together: their n-grams are the entries of a sparse matrix of texts and
+buckets, whose product with the matrix of log-probabilities is one gather of its
+rows and one sum for each text.
 
 Over n-grams the score of the best language nears 1 after a few words, in whatever
 language or noise the text is. ``confident`` therefore also asks that the mean
@@ -18,8 +21,11 @@ than ``MOST_LANGUAGES`` languages are an error. All languages have the same prio
 
 Null text, empty text or text without a letter: ``und`` with score 0. Documents
 with a null doc_id or null lang never train and are not held out. Without any
-training text every document is ``und``. Ties between languages go to the first
-by code point. Repeated rows get equal results; extra columns are ignored.
+training text, and for an empty table, there is nothing to learn: every document
+is ``und``. Very long texts are counted whole, ``CHUNK`` characters at a time. Ties
+between languages go to the first by code point. Repeated rows get equal results;
+extra columns are ignored by ``identify``, whatever their names, and kept by
+``confident``.
 """
 
 from __future__ import annotations
@@ -28,15 +34,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, in_batches
+
 DOCS_A_LANGUAGE = 6000
 BITS = 15
 MOST_CELLS = 1 << 22
 MOST_LANGUAGES = 1 << 14
-CHUNK = 1 << 20
+#: Characters that are taken at once, and numbers that are gathered at once.
+CHUNK, GATHERED = 1 << 17, 1 << 21
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Standard deviations of the mean that a short text may fall below, and the n-grams that start at one character.
@@ -49,29 +58,54 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def bucket_counts(text: str, bits: int) -> np.ndarray | None:
-    """Counts of the buckets of one whole text; None if it has no letter. Works in chunks of bounded size."""
-    total, table = None, letters()
+def grams(code: np.ndarray, own: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For n-grams of each length: where they start, among the first ``own`` characters, in order, and their buckets."""
     shift = np.uint64(64 - bits)
-    for at in range(0, len(text), CHUNK):
-        code = np.frombuffer(text[at : at + CHUNK + 2].lower().encode("utf-32-le"), dtype=np.uint32)
-        own = min(len(code), CHUNK) if at + CHUNK < len(text) else len(code)
-        code = np.where(table[code], code, 32).astype(np.uint64)
-        blank = code == 32
-        if blank.all():
-            continue
-        if total is None:
-            total = np.zeros(1 << bits, dtype=np.int64)
-        gram, ok = code + np.uint64(1), ~blank
+    blank = code == 32
+    gram, ok = code + np.uint64(1), ~blank
+    first = np.flatnonzero(ok[:own])
+    yield first, (gram[first] * MIX >> shift).astype(np.int64)
+    ok = np.ones(len(code), dtype=bool)
+    for n in (2, 3):
+        gram = gram[:-1] * MIX + code[n - 1 :] + np.uint64(1)
+        ok = ok[:-1] & ~(blank[n - 2 : -1] & blank[n - 1 :])
         first = np.flatnonzero(ok[:own])
-        total += np.bincount((gram[first] * MIX >> shift).astype(np.int64), minlength=1 << bits)
-        ok = np.ones(len(code), dtype=bool)
-        for n in (2, 3):
-            gram = gram[:-1] * MIX + code[n - 1 :] + np.uint64(1)
-            ok = ok[:-1] & ~(blank[n - 2 : -1] & blank[n - 1 :])
-            first = np.flatnonzero(ok[:own])
-            total += np.bincount(((gram[first] ^ gram[first] >> np.uint64(29)) * MIX >> shift).astype(np.int64), minlength=1 << bits)
-    return total
+        yield first, ((gram[first] ^ gram[first] >> np.uint64(29)) * MIX >> shift).astype(np.int64)
+
+
+def entries(texts: list[str | None], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams of several texts: which text each belongs to (in order), and its bucket. Some at a time."""
+    table = letters()
+
+    def step(part: list[str], places: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        whole = " " + "  ".join(part) + " "
+        starts = np.cumsum([0] + [len(t) + 2 for t in part[:-1]])
+        number = np.array(places)
+        for at in range(0, len(whole), CHUNK):
+            code = np.frombuffer(whole[at : at + CHUNK + 2].encode("utf-32-le"), dtype=np.uint32)
+            code = np.where(table[code], code, 32).astype(np.uint64)
+            for first, bucket in grams(code, CHUNK, bits):
+                yield number[np.searchsorted(starts, first + at, side="right") - 1], bucket
+
+    part, places, size = [], [], 0
+    for i, text in enumerate(texts):
+        if text:
+            part.append(text.lower())
+            places.append(i)
+            size += len(part[-1]) + 2
+            if size >= CHUNK:
+                yield from step(part, places)
+                part, places, size = [], [], 0
+    if part:
+        yield from step(part, places)
+
+
+def bucket_counts(text: str | None, bits: int) -> np.ndarray | None:
+    """Counts of the buckets of one whole text; None if it has no letter."""
+    total = np.zeros(1 << bits, dtype=np.int64)
+    for _, bucket in entries([text], bits):
+        total += np.bincount(bucket, minlength=1 << bits)
+    return total if total.any() else None
 
 
 class Model:
@@ -79,27 +113,39 @@ class Model:
         self.languages, self.log_p, self.bits = languages, log_p, bits
         self.fit: tuple[np.ndarray, np.ndarray] | None = None
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        return self.measured(text)[:2]
-
-    def measured(self, text: str | None) -> tuple[str, float, int, float, int]:
-        """The language, its score, its place, the mean log-probability of the text's n-grams in it, and their number."""
-        counts = bucket_counts(text, self.bits) if text and self.languages else None
-        if counts is None:
-            return UNKNOWN, 0.0, 0, 0.0, 0
-        full = np.flatnonzero(counts)
-        scores = counts[full] @ self.log_p[full]
-        best = int(np.argmax(scores))
-        n = int(counts.sum())
-        return self.languages[best], float(1 / np.exp(scores - scores[best]).sum()), best, float(scores[best]) / n, n
-
-    def sure(self, text: str | None, score_least: float) -> bool:
+    def scores(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of log-probabilities (texts x languages) and numbers of n-grams."""
+        out, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
+        if not self.languages:
+            return out, n
+        width = max(1, GATHERED // len(self.languages))
+        for where, bucket in entries(texts, self.bits):
+            for at in range(0, len(where), width):
+                own = where[at : at + width]
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                out[own[begin]] += np.add.reduceat(self.log_p[bucket[at : at + width]], begin, axis=0)
+                n[own[begin]] += np.diff(np.append(begin, len(own)))
+        return out, n
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and scores of several texts."""
+        sums, n = self.scores(texts)
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        best = sums.argmax(axis=1)
+        score = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        return [self.languages[k] if m else UNKNOWN for k, m in zip(best, n, strict=True)], np.where(n > 0, score, 0.0)
+
+    def sure(self, texts: list[str | None], score_least: float) -> np.ndarray:
         """Whether the score is high enough and the text fits the language as its own text does."""
-        lang, score, best, mean, n = self.measured(text)
-        if lang == UNKNOWN or score < score_least:
-            return False
+        sums, n = self.scores(texts)
+        if not self.languages:
+            return np.zeros(len(texts), dtype=bool)
+        best, top = sums.argmax(axis=1), sums.max(axis=1)
+        score = 1 / np.exp(sums - top[:, None]).sum(axis=1)
         least, spread = self.least_fit()
-        return bool(mean >= least[best] - DEVIATIONS * spread[best] * np.sqrt(GRAMS / n))
+        some = np.maximum(n, 1)
+        return (n > 0) & (score >= score_least) & (top / some >= least[best] - DEVIATIONS * spread[best] * np.sqrt(GRAMS / some))
 
     def least_fit(self) -> tuple[np.ndarray, np.ndarray]:
         """Per language: the mean log-probability halfway between its own text and the nearest other language's, and the deviation of one n-gram's.
@@ -138,25 +184,30 @@ def train(docs: DataFrame) -> Model:
         below = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(most, most * DOCS_A_LANGUAGE // n)))])
         use = use.where(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(most)) < F.element_at(below, F.col("lang")))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, np.ndarray] = {}
+    place = {k: i for i, k in enumerate(languages)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b["lang"], b["text"], strict=True):
-                own = bucket_counts(text, bits)
-                if own is not None:
-                    sums[lang] = sums[lang] + own if lang in sums else own
-            if len(sums) > 256:
-                yield from map(rows, sums.items())
-                sums = {}
-        yield from map(rows, sums.items())
-
-    def rows(item: tuple[str, np.ndarray]) -> pd.DataFrame:
+            own = np.array([place[k] for k in b.column(0).to_pylist()], dtype=np.int64)
+            for where, bucket in entries([t.as_py() for t in b.column(1)], bits):
+                lang = own[where]
+                for k in np.unique(lang).tolist():
+                    found = np.bincount(bucket[lang == k], minlength=1 << bits)
+                    sums[k] = sums[k] + found if k in sums else found
+                if len(sums) > 256:
+                    yield from map(packed, sums.items())
+                    sums = {}
+        yield from map(packed, sums.items())
+
+    def packed(item: tuple[int, np.ndarray]) -> pa.RecordBatch:
         full = np.flatnonzero(item[1])
-        return pd.DataFrame({"lang": item[0], "bucket": full, "n": item[1][full]})
+        return pa.RecordBatch.from_arrays([pa.array(full * len(languages) + item[0]), pa.array(item[1][full])], names=["cell", "n"])
 
-    cells = use.select("lang", "text").mapInPandas(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.full((1 << bits, len(languages)), SMOOTHING)
-    counts[cells["bucket"].to_numpy(dtype=np.int64), cells["lang"].map({k: i for i, k in enumerate(languages)}).to_numpy(dtype=np.int64)] += cells["n"].to_numpy(dtype=np.float64)
+    cells = in_batches(use.select(F.col("lang").cast("string"), "text"), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.full(len(languages) << bits, SMOOTHING)
+    counts[cells["cell"].to_numpy()] += cells["n"].to_numpy()
+    counts = counts.reshape(1 << bits, len(languages))
     return Model(languages, np.log(counts / counts.sum(axis=0)), bits)
 
 
@@ -164,13 +215,13 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shared.value.predict(t) for t in b.pop("text")]
-            yield b.assign(lang_pred=[x for x, _ in found], score=[x for _, x in found])
+            lang, score = shared.value.predict([t.as_py() for t in b.column(2)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return in_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -179,9 +230,10 @@ def confident(docs: DataFrame, least: float = 0.5) -> DataFrame:
     if model.languages:
         model.least_fit()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def sure(text: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.sure(t, least) for t in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def sure(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.sure([t.as_py() for t in texts], least))
 
     return docs.where(sure("text"))
