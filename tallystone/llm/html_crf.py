@@ -71,7 +71,9 @@ def train(pages: list[tuple[str, list[int]]]) -> Field:
     labels = []
     for page, own in pages:
         found = blocks(page)
-        if len(found) != len(own) or not found:
+        if len(found) != len(own):
+            raise ValueError(f"{len(own)} labels for a page of {len(found)} blocks")
+        if not found:
             continue
         rows.append([[names.setdefault(f, len(names)) for f in (*sorted(b.features), *own_features(b, i, len(found)))] for i, b in enumerate(found)])
         labels.append(own)

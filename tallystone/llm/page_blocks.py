@@ -15,7 +15,10 @@ import html
 import re
 from collections.abc import Callable
 
-TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A comment, declaration or instruction, or the name of a tag; what the tag holds is read by ``tag_end``.
+OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+COMMENT_END = re.compile(r"--!?>")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Fixed values of HTML: elements whose content is not text of the page, elements without content, inline elements.
@@ -57,6 +60,43 @@ SAID = {
 SAID_ANY = re.compile("|".join(f"(?P<{k}>{v.pattern})" for k, v in SAID.items()), re.I)
 
 
+class Scanner:
+    """The tags of a page, one after the other, in time that grows with the page.
+
+    A quoted value may hold ``>``. A quote that is never closed does not open a
+    value, and where quotes leave a tag without an end it ends at its first ``>``,
+    as all later tags do. Where each kind of mark comes next is remembered, and that
+    there is none, so no part of a page is searched twice for the same mark.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.ahead, self.quotes = page, {}, True
+
+    def next(self, mark: str, at: int) -> int:
+        """The place of the next such mark; -1 if there is none."""
+        found = self.ahead.get(mark, -2)
+        if found == -1 or found >= at:
+            return found
+        found = self.ahead[mark] = self.page.find(mark, at)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if it never ends."""
+        begin = at
+        while self.quotes:
+            m = MARK.search(self.page, at)
+            if m is None:
+                self.quotes = False
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.next(m[0], m.end())
+            if close < 0:
+                break
+            at = close + 1
+        return self.next(">", begin)
+
+
 class Open:
     """An open element: its tag and the features that its blocks inherit."""
 
@@ -149,19 +189,27 @@ def blocks(page: str | None) -> list[Block]:
         if stack[-1].link:
             links += len(text)
 
-    search = TAG.search
+    scanner, search = Scanner(page), OPENING.search
     while at < end:
         m = search(page, at)
-        if m is None:
-            add(page[at:])
+        name = m and m[2]
+        stop = scanner.tag_end(m.end()) if name else 0
+        if m is None or stop < 0:
+            # no tag any more, or one that the page's end cuts off
+            add(page[at : m.start()] if m else page[at:])
             break
         if m.start() > at:
             add(page[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
         if name is None:
+            if m[0] == "<!--":
+                closing = COMMENT_END.search(page, m.end())
+                at = closing.end() if closing else end
+            else:
+                closing = scanner.next(">", m.end())
+                at = closing + 1 if closing >= 0 else end
             continue
-        tag, ending, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
+        at = stop + 1
+        tag, ending, attributes = name.lower(), m[1], page[m.end() : stop]
         if ending:
             if tag not in INLINE:
                 flush()
@@ -173,8 +221,9 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
         elif tag in RAW:
             if tag not in INLINE and not attributes.rstrip().endswith("/"):
-                stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+                closing = re.compile(f"</{tag}\\b", re.I).search(page, at)
+                stop = scanner.next(">", closing.end()) if closing else -1
+                at = stop + 1 if stop >= 0 else end
         else:
             if tag not in INLINE:
                 flush()
