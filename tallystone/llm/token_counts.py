@@ -13,8 +13,11 @@ Sections are given as spans or cut by ``sections`` (default: a section ends afte
 each run of line feeds, so sections cover the text). Characters outside every
 section belong to none; tokens allocated there are counted in no section.
 
-Null or empty text: no sections, hence no rows. Repeated rows are counted each.
-An empty table gives no rows. Extra columns are ignored.
+Null or empty text: no sections, hence no rows. Null doc_id: returned as it is.
+Repeated rows are counted each. Ties of ``most`` go to the earlier section. Very
+long texts are encoded part by part and attributed whole; what is held is about
+50 bytes a token. An empty table gives no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import codec, vocabulary_path
+from .common import in_batches
 
 Spans = list[tuple[int, int]]
 ROWS_A_BATCH = 20_000
@@ -111,4 +115,4 @@ def section_tokens(docs: DataFrame, path: str | None = None, rule: str = "start"
                     rows, parts = [], []
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return in_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
