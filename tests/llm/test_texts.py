@@ -2,11 +2,16 @@
 
 import base64
 import hashlib
+import itertools
+import math
 import random
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone.llm import bpe, divergence, html_crf, language_id, token_counts, url_rules
 from tallystone.llm.common import WORD
@@ -44,30 +49,78 @@ def test_base_counts_match_brute_force():
         assert divergence.base(t)[1] == brute_base(t), t
 
 
+def prose(rng, common, rare, n):
+    return " ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(n)).capitalize() + "."
+
+
 def test_divergence(spark):
     rng = random.Random(2)
-    common, rare = divergence.COMMON["en"].split()[:12], ["".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(400)]
-    clean = [" ".join(rng.choice(common) if rng.random() < 0.4 else rng.choice(rare) for _ in range(200)).capitalize() + "." for _ in range(60)]
+    common, rare = "the of and to in a is that for it as was".split(), ["".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(400)]
+    clean = [prose(rng, common, rare, 200) for _ in range(60)]
     shouted = [t.upper().replace(" ", "!! ") for t in clean[:5]]
-    lists = [" | ".join(rng.choices(rare, k=200)) for _ in range(5)]
-    texts = clean + shouted + lists + ODD
-    docs = spark.createDataFrame(rows(texts), SCHEMA)
-    got = {r.doc_id: r for r in divergence.judge(docs).collect()}
+    lists = [" | ".join(rng.choices(rare, k=200)) for _ in range(5)] + [" ".join(rng.choices(rare, k=n)) for n in (60, 80, 100, 150)]
+    texts = clean + shouted + lists + ODD + [clean[0], clean[0]]
+    docs = spark.createDataFrame(rows(texts) + [(None, clean[1], None, None, None, None)], SCHEMA)
+    found = divergence.judge(docs).collect()
+    assert len(found) == len(texts) + 1 and all(r.kept for r in found if r.doc_id is None)
+    got = {r.doc_id: r for r in found}
     assert all(got[i].kept for i in range(60))
-    assert not any(got[i].kept for i in range(60, 70))
+    assert not any(got[i].kept for i in range(60, 74))
+    assert got[len(texts) - 1].kept and got[len(texts) - 2].kept
     for i, t in enumerate(texts):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == divergence.base(t)[1]
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert not (r.base_failed and r.kept)
     kept = divergence.good(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
-    assert divergence.judge(docs.limit(0)).count() == 0
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(i for i, r in got.items() if i is not None and r.kept)
+    assert divergence.judge(docs.limit(0)).count() == 0 and divergence.good(docs.limit(0)).count() == 0
+
+
+def test_every_language_has_its_reference(spark):
+    rng = random.Random(12)
+    own = {"it": ("di che la il un per non sono del con".split(), "abcdefgilmnopruvz"), "pl": ("w na się z do nie jest że i przez".split(), "abcdeghijklmnoprstwyząęłó"), "zh": ("的 是 在 了 有 和 不 我 这 人".split(), "天地山水大小中上下年月日国家时间工作学生".strip())}
+    texts, langs = [], []
+    for lang, (common, letters) in own.items():
+        rare = ["".join(rng.choices(letters, k=rng.randint(2, 6))) for _ in range(300)]
+        texts += [prose(rng, common, rare, n) for n in (60, 150, 400) for _ in range(12)]
+        langs += [lang] * 36
+    # a language with too few documents for a reference is not judged
+    texts += ["".join(rng.choices("αβγδεζηθικλμ ", k=600)) for _ in range(3)]
+    langs += ["el"] * 3
+    # a text that is like none of the known languages
+    texts += [" ".join("".join(rng.choices("0123456789#", k=5)) for _ in range(100))]
+    langs += ["it"]
+    docs = spark.createDataFrame([(i, t, k, "s", "x", 1) for i, (t, k) in enumerate(zip(texts, langs, strict=True))], SCHEMA)
+    got = {r.doc_id: r.kept for r in divergence.judge(docs).collect()}
+    assert [i for i in got if not got[i]] == [len(texts) - 1]
+
+
+def test_common_words_are_counted_by_document(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "COUNTED", 50)
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices([f"W{i}," for i in range(40)], k=rng.randint(15, 60))) for _ in range(30)] + ["again " * 500]
+    counts = {}
+    for t in texts:
+        if len(t.split()) >= 20:
+            for w in {w.strip(",").lower() for w in t.split()}:
+                counts[w] = counts.get(w, 0) + 1
+    want = sorted(counts, key=lambda w: (-counts[w], w))[:32]
+    assert divergence.common_words(spark.createDataFrame(rows(texts), SCHEMA)) == {"en": want} and "again" not in want[:5]
+
+
+def test_base_counts_of_texts_beyond_one_chunk():
+    text = "Über ಕನ್ನಡ 123, und #so weiter " * 60_000
+    chars = divergence.class_counts(text)
+    assert chars.sum() == len(text) > 1 << 20
+    one = divergence.class_counts(text[:len(text) // 60_000])
+    assert (chars == one * 60_000).all()
+    assert divergence.classes()[0x30000] == 2
 
 
-def test_distance_bounds():
-    assert divergence.distance(np.array([1, 0]), np.array([0, 3])) == 1.0
-    assert divergence.distance(np.array([2, 2]), np.array([5, 5])) == 0.0
+def test_divergence_bounds():
+    assert divergence.divergence(np.array([[1, 0]]), np.array([0, 3])).tolist() == [1.0]
+    assert divergence.divergence(np.array([[2, 2]]), np.array([5, 5])).tolist() == [0.0]
 
 
 def test_language_held_out_accuracy(spark):
@@ -88,6 +141,52 @@ def test_language_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == len(data) - 4
     empty = language_id.identify(docs.where("lang is null")).first()
     assert empty.lang_pred == "und" and not empty.held_out
+    assert language_id.identify(docs.limit(0)).count() == 0 and language_id.confident(docs.limit(0)).count() == 0
+    clash = docs.withColumn("held_out", F.lit("x")).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("x"))
+    assert sorted(map(repr, language_id.identify(clash).collect())) == sorted(map(repr, got))
+
+
+def plain_grams(text, bits):
+    """Buckets of the n-grams of one text, one by one."""
+    mask, mix = (1 << 64) - 1, int(language_id.MIX)
+    own = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+    for n in (1, 2, 3):
+        for i in range(len(own) - n + 1):
+            gram = own[i : i + n]
+            if gram == [" "] or any(a == b == " " for a, b in zip(gram, gram[1:], strict=False)):
+                continue
+            h = ord(gram[0]) + 1
+            for c in gram[1:]:
+                h = h * mix + ord(c) + 1 & mask
+            yield ((h if n == 1 else h ^ h >> 29) * mix & mask) >> 64 - bits
+
+
+def test_scores_are_those_of_a_plain_bayes(spark):
+    rng = random.Random(21)
+    own = {"a": "abcdeé", "b": "defgh ", "c": "xyzİß "}
+    data = [(i, "".join(rng.choices(own[k] + " .", k=rng.randint(0, 80))), k) for i, k in enumerate(rng.choices(list(own), k=90))]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    counts = {k: Counter() for k in own}
+    for i, t, k in data:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[k].update(plain_grams(t, model.bits))
+    size = 1 << model.bits
+    for r in language_id.identify(docs, model).collect():
+        grams = Counter(plain_grams(data[r.doc_id][1], model.bits))
+        sums = {k: sum(n * math.log((counts[k][g] + 0.5) / (counts[k].total() + 0.5 * size)) for g, n in grams.items()) for k in own}
+        if not grams:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        best = max(sums, key=sums.get)
+        assert r.score == pytest.approx(1 / sum(math.exp(v - sums[best]) for v in sums.values()), abs=1e-9)
+        assert sums[r.lang_pred] == pytest.approx(sums[best])
+
+
+def test_equal_languages_go_to_the_first(spark):
+    docs = spark.createDataFrame([(i, "same text here", k) for i, k in enumerate("bbbbaaaabbaa")], "doc_id long, text string, lang string")
+    model = language_id.Model(["a", "b"], np.zeros((1 << 10, 2)), 10)
+    assert {(r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()} == {("a", 0.5)}
 
 
 def test_texts_of_no_learned_language_are_not_confident(spark):
@@ -102,11 +201,16 @@ def test_texts_of_no_learned_language_are_not_confident(spark):
     assert {r.doc_id for r in clean.select("doc_id").collect()} <= kept
 
 
-def test_long_texts_are_counted_in_chunks(monkeypatch):
-    text = "Die Straße führt über den Fluß. " * 40
-    whole = language_id.bucket_counts(text, 12)
-    monkeypatch.setattr(language_id, "CHUNK", 37)
-    assert (language_id.bucket_counts(text, 12) == whole).all()
+@pytest.mark.parametrize("text", ["Die Straße führt über den Fluß. " * 40, "İstanbul'da İKİ IŞIK yandı, İzmir'de DEĞİL. " * 40])
+def test_long_texts_are_counted_in_chunks(monkeypatch, text):
+    want = np.bincount(list(plain_grams(text, 12)), minlength=1 << 12)
+    for chunk in (1 << 17, 37):
+        monkeypatch.setattr(language_id, "CHUNK", chunk)
+        assert (language_id.bucket_counts(text, 12) == want).all()
+        model = language_id.Model(["x"], np.random.default_rng(0).random((1 << 12, 1)), 12)
+        sums, n = model.scores(["", text, None, text[:50], "..."])
+        assert n.tolist() == [0, want.sum(), 0, sum(1 for _ in plain_grams(text[:50], 12)), 0]
+        assert sums[1, 0] == pytest.approx(float(want @ model.log_p[:, 0]))
 
 
 def brute_rule(host, path, rules, default="allow"):
@@ -150,6 +254,41 @@ def test_labels_of_held_out_pages():
     assert wrong <= 0.01 * total
 
 
+def test_training_follows_the_gradient_of_the_likelihood():
+    """The field's likelihood on its training pages, summed over all chains, is at its top."""
+    pages = [labelled_page(seed) for seed in range(400) if 0 < len(labelled_page(seed)[1]) <= 9][:12]
+    field = html_crf.train(pages)
+
+    def likelihood(change):
+        total = 0.0
+        for page, labels in pages:
+            e = field.score(blocks(page))
+            score = {y: field.start[y[0]] + sum((v + field.bias) * k for v, k in zip(e, y, strict=True)) + sum(change[a][b] for a, b in itertools.pairwise(y)) for y in itertools.product((0, 1), repeat=len(labels))}
+            top = max(score.values())
+            total += score[tuple(labels)] - top - math.log(sum(math.exp(v - top) for v in score.values()))
+        return total - html_crf.PENALTY / 2 * sum(v * v for row in change for v in row)
+
+    best = likelihood(field.change)
+    for a in (0, 1):
+        for b in (0, 1):
+            for step in (-1.0, 1.0):
+                moved = [list(row) for row in field.change]
+                moved[a][b] += step
+                assert likelihood(moved) < best
+
+
+def test_labels_that_do_not_fit_are_an_error():
+    with pytest.raises(ValueError, match="labels"):
+        html_crf.train([("<p>one</p><p>two</p>", [1])])
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a '\"", "<p 'x>' ", "<!--", "<script>", "<script></script ", "</a", "<", "<svg a=\"'", "<div><p "])
+def test_broken_pages_take_time_in_proportion(part):
+    began = time.perf_counter()
+    blocks(part * (400_000 // len(part)))
+    assert time.perf_counter() - began < 4
+
+
 def test_viterbi_is_the_best_chain():
     field = html_crf.default_field()
     for seed in range(40):
@@ -217,8 +356,15 @@ def fuzz(n):
     return ["".join(rng.choices(pool, k=rng.randint(1, 60))) for _ in range(n)]
 
 
+def planes(n):
+    """Texts of all planes, with the newest letters and numbers of each."""
+    rng = random.Random(19)
+    new = [0x558, 0x88F, 0xC5C, 0x11DE0, 0x11DE5, 0x16EA0, 0x323B0, 0x33479, 0x10EC2, 0xA7CE]
+    return ["".join(chr(rng.choice([rng.randrange(0x20, 0xD800), rng.randrange(0xE000, 0x110000), rng.choice(new), 0x20, 0x61])) for _ in range(rng.randint(1, 30))) for _ in range(n)]
+
+
 def test_bpe_equals_reference(spark, reference):
-    texts = ODD + fuzz(1500)
+    texts = ODD + fuzz(1500) + planes(1500) + ["unlike " + " ".join(f"p{i}q" for i in range(3000))]
     docs = spark.createDataFrame(rows(texts), SCHEMA)
     got = {r.doc_id: r for r in bpe.digests(docs).collect()}
     for i, t in enumerate(texts):
@@ -226,6 +372,19 @@ def test_bpe_equals_reference(spark, reference):
         assert got[i].ids_sha256 == hashlib.sha256(ids).hexdigest(), repr(t)
         assert got[i].n_tokens == len(ids) // 4 and got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     assert bpe.digests(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b", 1), (3, "a b", 2), (3, "a b", 2)], "doc_id long, text string, n_tokens long")
+    again = bpe.digests(odd).collect()
+    assert len({r[1:] for r in again}) == 1 and sorted(str(r.doc_id) for r in again) == ["3", "3", "None"]
+
+
+def test_long_texts_go_part_by_part(monkeypatch, reference):
+    text = " ".join(f"w{i} 漢字{i}\n" for i in range(3000))
+    want = np.array(reference.encode_ordinary(text), dtype="<u4").tobytes()
+    for name, value in (("LONG_TEXT", 50), ("PIECES", 7), ("SLICE", 11), ("KEPT_PIECES", 100)):
+        monkeypatch.setattr(bpe, name, value)
+    own = bpe.Codec(bpe.vocabulary_path())
+    parts = list(own.parts(text))
+    assert len(parts) > 100 and b"".join(parts) == want and own.decode(want) == text.encode()
 
 
 def test_kept_pieces_are_bounded(monkeypatch):
@@ -288,4 +447,8 @@ def test_section_tokens(spark, reference):
         assert sum(r.n_tokens for r in own) == len(reference.encode_ordinary(t or ""))
         assert sum(r.n_chars for r in own) == len(t or "")
         assert all(r.doc_tokens == sum(x.n_tokens for x in own) for r in own)
+    assert token_counts.section_tokens(docs.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b\nc", "x", 1), (4, "a b\nc", "x", 1), (4, "a b\nc", "x", 1)], "doc_id long, text string, section string, n_tokens long")
+    again = token_counts.section_tokens(odd).collect()
+    assert len(again) == 6 and {r[1:] for r in again} == {(0, 0, 4, 3, 0, 4), (1, 4, 1, 1, 0, 4)}
     assert token_counts.field_sections(["ab", None, "c"]) == ("ab\n\nc", [(0, 2), (3, 3), (4, 5)])
