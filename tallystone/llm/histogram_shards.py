@@ -6,24 +6,28 @@ is i/n of all bytes. Each round counts exact bytes between candidate key
 boundaries (one map-side combined aggregate) and keeps, for each splitter, only
 the interval that holds its position; the next round's probes divide that
 interval. A splitter is met once its interval is one text of at most
-``tolerance`` of a shard, or one key. Rows then move once, to their shards.
+``tolerance`` of a shard, or one key. Rows then move once, to ranges of the key
+order, of which shards are runs; slots count from the ranges' offsets, so a shard
+of any size is numbered by many tasks.
 
 Law ``bytes``: a row's shard is the one its byte midpoint falls in (a text's
 midpoint where the whole group of equal texts is within the tolerance, so small
 groups stay together; larger groups are split between their documents).
 
-Null or empty text: size 16, crc32 0. Null doc_id: sorted as the empty string.
+Null or empty text: size 16, crc32 0. Very long texts count whole; one that is
+larger than a shard is a shard of its own. Null doc_id: sorted as the empty string.
 Ties and repeated rows: rows with one key go to one shard, slots follow (key,
-doc_id, size). An empty table gives no rows. Extra columns are ignored.
+doc_id, size). An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered_by
 from .common import hex_bits, settle
 
 SHIFTS = (51, 39, 31, 19, 7, 0)
@@ -94,14 +98,15 @@ def shard(docs: DataFrame, shards: int = 40, tolerance: float = 0.01) -> DataFra
     rows = settle(keyed(docs))
     at = splitters(rows, shards, tolerance)
     number = F.size(F.filter(F.array(*map(F.lit, at)), lambda s: s <= F.col("key"))) if at else F.lit(0)
-    order = Window.partitionBy("shard").orderBy("key", "doc_id", "size")
-    return rows.withColumn("shard", number.cast("int")).select(
+    placed = numbered_by(rows, "place", "key", "doc_id", "size").withColumn("shard", number.cast("int"))
+    first = placed.groupBy(F.col("shard").alias("own")).agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(first), F.col("shard") == F.col("own")).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.row_number().over(order) - 1).cast("long").alias("slot"),
+        (F.col("place") - F.col("first")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         "key",
     )

@@ -13,9 +13,15 @@ The range key ends with a hash of the row, so that one host, or one URL, with a
 third of all rows is divided like anything else. Equal rules: block wins over
 allow. Rules of the same length: the longer host wins, then block.
 
+URLs are parsed once; the table of their keys is written, counted, sampled and
+swept. A host's rules are kept with the lengths of their paths, so a URL asks once
+for each length, longest first.
+
 Null URL or one without ``://``: host and path empty. Rules never fit an empty
-host. Repeated rows each get a verdict. Without rules every URL gets the default
-verdict. Extra columns are ignored.
+host; rules with a null part are ignored. Null key: returned as it is. Very long
+URLs are compared whole. Repeated rows each get a verdict. Without rules every URL
+gets the default verdict; an empty table gives no rows. Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 SAMPLE_A_RANGE = 40
 TOP = "\U0010ffff"
 
@@ -49,16 +57,21 @@ class Sweep:
     """The merge of one range: rules and URLs arrive in key order."""
 
     def __init__(self, default: str):
+        #: Of each open host: key, host, its rules by path, and the lengths of those, longest first.
         self.default, self.stack = default, []
 
     def rule(self, rev: str, host: str, path: str, verdict: str) -> None:
         self.close(rev)
-        if self.stack and self.stack[-1][0] == rev:
-            paths = self.stack[-1][2]
-            if paths.get(path) != "block":
-                paths[path] = verdict
-        else:
-            self.stack.append((rev, host, {path: verdict}))
+        if not self.stack or self.stack[-1][0] != rev:
+            self.stack.append((rev, host, {}, []))
+        _, _, paths, lengths = self.stack[-1]
+        if path not in paths:
+            at = bisect_left(lengths, -len(path))
+            if at == len(lengths) or lengths[at] != -len(path):
+                lengths.insert(at, -len(path))
+            paths[path] = verdict
+        elif paths[path] != "block":
+            paths[path] = verdict
 
     def close(self, rev: str) -> None:
         while self.stack and not rev.startswith(self.stack[-1][0]):
@@ -67,15 +80,15 @@ class Sweep:
     def url(self, rev: str, path: str) -> tuple[str | None, str]:
         self.close(rev)
         best = None
-        for _, host, paths in self.stack:
-            for n in {len(p) for p in paths} if len(paths) > 64 else ():
-                if len(path) >= n and path[:n] in paths:
-                    best = max(best or (), (len(host) + n, len(host), host + path[:n], paths[path[:n]]), key=lambda x: x[:2])
-            if len(paths) <= 64:
-                for p, verdict in paths.items():
-                    if path.startswith(p):
-                        best = max(best or (), (len(host) + len(p), len(host), host + p, verdict), key=lambda x: x[:2])
-        return (best[2], best[3]) if best else (None, self.default)
+        for _, host, paths, lengths in reversed(self.stack):
+            for n in lengths[bisect_left(lengths, -len(path)) :]:
+                if best and (len(host) - n, len(host)) <= best[0]:
+                    break
+                verdict = paths.get(path[: -n])
+                if verdict:
+                    best = (len(host) - n, len(host)), host + path[: -n], verdict
+                    break
+        return best[1:] if best else (None, self.default)
 
 
 def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", ranges: int | None = None) -> DataFrame:
@@ -84,8 +97,8 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     urls = parsed(pages, key, url).withColumn("salt", F.hex(F.xxhash64("id", "path")))
     urls = urls.withColumn("at", F.concat("rev", F.lit("\x01"), "salt"))
-    n = urls.count()
-    share = min(1.0, SAMPLE_A_RANGE * ranges / max(1, n))
+    urls = settle(urls)
+    share = min(1.0, SAMPLE_A_RANGE * ranges / max(1, urls.count()))
     sample = sorted(r[0] for r in urls.sample(share, seed=7).select("at").limit(3 * SAMPLE_A_RANGE * ranges).collect())
     cuts = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
@@ -124,5 +137,5 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
             yield done.drop(columns="i")
 
     both = urls.mapInPandas(deal_urls, schema).unionByName(rules.select("host", "path", "verdict").mapInPandas(deal_rules, schema))
-    dealt = both.repartition(ranges, "part").sortWithinPartitions("part", "at", "kind", F.length("path"), "verdict")
+    dealt = both.repartitionById(len(cuts) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "at", "kind", F.length("path"), "verdict")
     return dealt.mapInPandas(sweep, f"{key} {kind}, host string, path string, rule string, verdict string")
