@@ -115,3 +115,63 @@ def test_vectors_match_brute_force(spark, monkeypatch, block):
     wrong = [i for i, _ in rows if got[i] != (links[i], want[i], want[i] == i)]
     assert not wrong, [(i, got[i], links[i], want[i]) for i in wrong[:5]]
     assert len(pairs) > 1000
+
+
+def test_vectors_of_odd_rows(spark):
+    rows = [(None, [1.0, 0.0], 7, "x"), (5, [1.0, 0.0], 8, "x"), (5, [2.0, 0.0], 9, "x"), (6, [0.0, 3.0], 9, "x"), (None, None, 1, "x")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, node long, n string")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in el.near_duplicates(vectors).collect()))
+    assert got == [(0, 0, 0, True), (0, 2, 5, False), (5, 2, 5, True), (5, 2, 5, True), (6, 0, 6, True)]
+
+
+def test_cosines_at_the_limit_link(spark):
+    # 0.95 = 19 / 20: norms 20 and 20, dot product 380
+    rows = [(0, [20.0, 0.0, 0.0]), (1, [19.0, 39.0**0.5, 0.0]), (2, [18.999, 0.0, (400 - 18.999**2) ** 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {(i, j): np.dot(a, b) / (np.dot(a, a) ** 0.5 * np.dot(b, b) ** 0.5) >= 0.95 for i, a in rows for j, b in rows if i < j}
+    got = {r.vec_id: r.n_links for r in el.near_duplicates(vectors).collect()}
+    assert got == {i: sum(on for p, on in want.items() if i in p) for i, _ in rows}
+
+
+def test_pairs_at_the_limit_meet():
+    """Recall of the hashing alone, for the parameters of fifty thousand vectors and of a hundred million."""
+    rng = np.random.default_rng(3)
+    x = el.unit(rng.standard_normal((1500, 64)))
+    side = rng.standard_normal((1500, 64))
+    side = el.unit(side - np.einsum("ij,ij->i", side, x)[:, None] * x)
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * side
+    for n in (50_000, 100_000_000):
+        k, tables = el.parameters(n)
+        assert tables < 1 << el.TABLE_BITS
+        met = (el.table_keys(x, k, tables) == el.table_keys(y, k, tables)).any(axis=1).mean()
+        assert met >= 0.995, (n, met)
+
+
+def test_near_copies_of_texts_meet():
+    """Recall of the bands alone, at the least similarity."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for _ in range(300):
+        a = rng.integers(0, 2**63, 180).astype(np.uint64)
+        b = np.concatenate([a[:160], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        assert dm.similarity(np.sort(a), np.sort(b)) == 0.8
+        keys = dm.band_keys(dm.signatures([a, b], dm.BANDS * dm.ROWS), dm.BANDS, dm.ROWS)
+        met += (keys[0] == keys[1]).any()
+    assert met >= 297
+
+
+def test_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(dm, "CELLS_A_UNIT", 64)
+    monkeypatch.setattr(dm, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    long = [f"w{i}" for i in rng.integers(0, 10**6, 60_000)]
+    own = [" ".join(long), " ".join(long[:-100]), " ".join(long[5000:]), " ".join(reversed(long)), "short text of few words", " ".join(long[:20_000])]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(own)], "doc_id long, text string, band_key string, root string")
+    assert {r.doc_id: r.class_id for r in dm.near_duplicates(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert dm.deduplicated(docs).count() == 4
+
+
+def test_classes_without_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three"), (None, "one two three"), (None, None), (3, "four five six")], "doc_id long, text string")
+    assert sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in dm.near_duplicates(docs).collect())) == [(0, 0, True)] * 3 + [(3, 3, True)]
+    assert dm.deduplicated(docs).count() == 4

@@ -243,6 +243,15 @@ def test_url_rules_match_brute_force(spark):
     assert url_rules.judge(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
 
 
+def test_one_host_with_many_rules(spark):
+    rules = [("a.com", f"/{i}/{i * 7}", "block" if i % 2 else "allow") for i in range(4000)] + [("com", "/", "allow"), ("a.com", "", "block"), ("a.com", "/1/7", "allow"), ("b.com", None, "allow")]
+    urls = [f"http://{h}a.com/{i}/{i * 7}{t}" for i in range(0, 4000, 40) for h in ("", "w.") for t in ("", "/x?q")] + ["http://a.com/none", "http://a.com/" + "x" * 300_000, "http://b.com/" + "y" * 300_000]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    usable = [r for r in rules if r[1] is not None]
+    for r in url_rules.judge(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), ranges=5).collect():
+        assert (r.rule, r.verdict) == brute_rule(r.host, r.path, usable), urls[r.page_id][:60]
+
+
 def test_labels_of_held_out_pages():
     field, wrong, total = html_crf.default_field(), 0, 0
     for seed in range(7000, 7150):
