@@ -81,32 +81,36 @@ def hex_bits(digest, digits: int):
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Rounds by the order of the nodes themselves.
+PLAIN_ROUNDS = 3
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b of one orderable type).
 
     Each round maps every node to the least of itself and its neighbours and
     contracts the graph by that map, until no edge is left; then the maps are
-    joined in turn. A star is done in one round. Minima are combined map-side. A
-    hub's edges are narrow rows that meet the map in a plain join of two written
-    tables, which adaptive execution splits, so a hub with very many edges is not
-    one task. Where nodes are hashes the least neighbour is a random one and the
-    graph shrinks by a factor each round; from the third round on a map is applied
-    twice, so that chains of any order shrink too.
+    joined in turn. A star is done in one round. From ``PLAIN_ROUNDS`` on, least is
+    by a hash of the node and the round, so chains in order shrink by a factor each
+    round too. Minima are combined map-side. A hub's edges are narrow rows that
+    meet the map in a plain join of two written tables, which adaptive execution
+    splits, so a hub with very many edges is not one task.
 
     Returns node, root (the least node of its component) for every node that has
     an edge to another node.
     """
     e = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     maps: list[DataFrame] = []
-    for _ in range(rounds):
+    for k in range(rounds):
         if e.isEmpty():
             break
-        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-        up = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-        if len(maps) >= 2:
-            # long chains: two steps at once
-            far = up.select(F.col("node").alias("root"), F.col("root").alias("far"))
-            up = settle(up.join(far, "root").select("node", F.col("far").alias("root")))
+        both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("m"))
+        if k < PLAIN_ROUNDS:
+            up = both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("root"))
+        else:
+            order = lambda c, k=k: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("x"))
+            up = both.groupBy("node").agg(F.min(order("m")).alias("m")).select("node", F.least(order("node"), F.col("m"))["x"].alias("root"))
+        up = settle(up)
         maps.append(up)
         for end in ("a", "b"):
             e = e.join(up.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end).drop(end)
@@ -115,9 +119,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    plain = len(maps) <= PLAIN_ROUNDS
     found = maps.pop()
     while maps:
         top = found.select(F.col("node").alias("root"), F.col("root").alias("_top"))
-        found = maps.pop().join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
-        found = settle(found) if maps else found
-    return found
+        found = settle(maps.pop().join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root")))
+    if plain:
+        return found
+    least = settle(found.groupBy("root").agg(F.min("node").alias("_least")))
+    return found.join(least, "root").select("node", F.col("_least").alias("root"))
