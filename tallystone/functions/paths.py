@@ -54,9 +54,14 @@ def from_segments(segs: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(segs, "/"))
 
 
-def ancestors(segs: Column) -> Column:
-    """Segment lists of the root, of every ancestor, and of the path itself."""
-    return F.transform(F.sequence(F.lit(0), F.size(segs)), lambda n: F.slice(segs, F.lit(1), n))
+def ancestors(segs: Column, top: int = 0) -> Column:
+    """Segment lists of the directory at depth ``top`` on the way, of every one below it, and of the path itself."""
+    return F.transform(F.sequence(F.lit(top), F.size(segs)), lambda n: F.slice(segs, F.lit(1), n))
+
+
+def levels(root: str) -> int:
+    """How many names a path has."""
+    return len([s for s in root.split("/") if s])
 
 
 def under(path: Column, root: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 KB = 1024
 
@@ -18,6 +19,14 @@ def size_text(size: float | None) -> str:
     return f"{int(size)} B"
 
 
+def time_text(seconds: float, form: str = "%Y-%m-%d %H:%M:%S") -> str:
+    """Local time of an epoch second; empty for what is none."""
+    try:
+        return datetime.fromtimestamp(seconds).strftime(form)
+    except (OverflowError, OSError, ValueError, TypeError):
+        return ""
+
+
 def shortened(text: str, width: int) -> str:
     return text if len(text) <= width else text[: max(0, width - 3)] + "..."[: max(0, width)]
 
@@ -47,6 +56,12 @@ def table(headers: list[str], rows: list[tuple], title: str = "", width: int = 1
     return "\n".join([*out, rule, line(list(headers)), rule, *map(line, cells), rule])
 
 
+def bar(percent: float, width: int = 20) -> str:
+    """A bar of ``width`` places, filled by percent."""
+    full = round(width * min(100.0, max(0.0, percent)) / 100)
+    return "[" + "#" * full + "-" * (width - full) + "]"
+
+
 def grid(names: list[str], width: int = 100) -> str:
     """Names column by column."""
     if not names:

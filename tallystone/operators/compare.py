@@ -72,3 +72,11 @@ def selected(points: DataFrame, by: str = "growth", most: int = MOST_USERS) -> D
 def pivoted(points: DataFrame, names: list[str]) -> DataFrame:
     """day and a column for each name."""
     return points.groupBy("day").pivot("name", names).agg(F.sum("used"))
+
+
+def names_of(*frames: DataFrame) -> DataFrame:
+    """name: every name of the given tables once."""
+    out = frames[0].select("name")
+    for f in frames[1:]:
+        out = out.union(f.select("name"))
+    return out.distinct()

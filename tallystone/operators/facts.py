@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.formats import default_name
 from ..functions.paths import basename, extension, parent_or_root
+from .numbering import numbered_by
 
 FIRST_SYNTHETIC_UID = 1_000_000_000
-PREFIX = 4
 
 
 def named(rows: DataFrame, usernames: DataFrame) -> DataFrame:
@@ -21,21 +21,13 @@ def interned(names: DataFrame, usernames: DataFrame) -> DataFrame:
     """username, uid: the smallest uid of the name; names without one get numbers from 1,000,000,000 by name."""
     known = usernames.groupBy("username").agg(F.min("uid").alias("known"))
     rows = names.select("username").distinct().join(known, "username", "left")
-    extra = rows.where("known is null").select("username", (F.row_number().over(Window.orderBy("username")) - 1 + FIRST_SYNTHETIC_UID).cast("long").alias("extra"))
-    return rows.join(extra, "username", "left").select("username", F.coalesce("known", "extra").alias("uid"))
+    extra = numbered_by(rows.where("known is null").select("username"), "extra", "username")
+    return rows.join(extra, "username", "left").select("username", F.coalesce("known", F.col("extra") + FIRST_SYNTHETIC_UID).alias("uid"))
 
 
 def dictionary(values: DataFrame, value: str, number: str) -> DataFrame:
-    """Each distinct value with a dense number from 0 in value order.
-
-    Values are numbered inside ranges of equal first characters (``PREFIX``), whose
-    offsets come from a window over the ranges only.
-    """
-    own = values.select(value).where(F.col(value).isNotNull()).distinct().withColumn("head", F.substring(value, 1, PREFIX))
-    heads = own.groupBy("head").agg(F.count("*").alias("n"))
-    heads = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("head").orderBy(value)) - 1
-    return own.withColumn("place", place).join(heads, "head").select(value, (F.col("offset") + F.col("place")).cast("long").alias(number))
+    """Each distinct value with a dense number from 0 in value order."""
+    return numbered_by(values.select(value).where(F.col(value).isNotNull()).distinct(), number, value)
 
 
 def file_rows(files: DataFrame, tree: DataFrame) -> DataFrame:
@@ -80,6 +72,16 @@ def last_of_key(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def meta_values(meta: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, value of each asked key (key), empty if there is none."""
+    return keys.select("key").distinct().join(meta, "key", "left").select("key", F.coalesce("value", F.lit("")).alias("value"))
+
+
 def meta_value(meta: DataFrame, key: str) -> DataFrame:
     """One row: the key's value, empty if there is none."""
     return meta.where(F.col("key") == key).agg(F.coalesce(F.max("value"), F.lit("")).alias("value"))
+
+
+def owner_uids(direct: DataFrame, usernames: DataFrame) -> DataFrame:
+    """uid of everybody who has files or a name."""
+    return direct.select("uid").union(usernames.select("uid")).distinct()

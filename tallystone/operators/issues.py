@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import default_name
+from .numbering import numbered_by
 
 UNKNOWN = "__unknown__"
-PREFIX = 24
 
 
 def owned(events: DataFrame, usernames: DataFrame) -> DataFrame:
@@ -19,18 +19,9 @@ def owned(events: DataFrame, usernames: DataFrame) -> DataFrame:
 
 
 def numbered(issues: DataFrame) -> DataFrame:
-    """id from 1 in (uid, path, error, item_type) order.
-
-    Issues are numbered inside groups of one uid and equal first characters of
-    the path; a window over the groups gives the offsets, so a user with most of
-    the issues is not one task.
-    """
-    rows = issues.withColumn("head", F.substring("path", 1, PREFIX))
-    counts = rows.groupBy("uid", "head").agg(F.count("*").alias("n"))
-    before = Window.orderBy("uid", "head").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("uid", "head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    place = F.row_number().over(Window.partitionBy("uid", "head").orderBy("path", "error", "item_type"))
-    return rows.withColumn("place", place).join(counts, ["uid", "head"]).select((F.col("offset") + F.col("place")).cast("long").alias("id"), "user", "item_type", "error", "path")
+    """id from 1 in (uid, path, error, item_type) order."""
+    rows = numbered_by(issues, "id", "uid", "path", "error", "item_type")
+    return rows.select((F.col("id") + 1).alias("id"), "user", "item_type", "error", "path")
 
 
 def by_user(issues: DataFrame) -> DataFrame:
@@ -45,3 +36,11 @@ def of_user(issues: DataFrame, user: str, top: int, pattern: str = "") -> DataFr
         rows = rows.where(F.col("path").ilike(f"%{pattern}%"))
     total = rows.agg(F.count("*").alias("total"))
     return rows.select("id", "item_type", "error", "path").orderBy("id").limit(top).join(F.broadcast(total))
+
+
+def grouped(issues: DataFrame, most: int = 100) -> DataFrame:
+    """user, count, inaccessible_items: of each user how many, and the first ``most`` by path as (path, type, error)."""
+    order = Window.partitionBy("user").orderBy("path", "error", "item_type")
+    first = issues.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    items = first.groupBy("user").agg(F.sort_array(F.collect_list(F.struct("path", F.col("item_type").alias("type"), "error"))).alias("inaccessible_items"))
+    return issues.groupBy("user").agg(F.count("*").alias("count")).join(items, "user")

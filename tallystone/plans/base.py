@@ -15,12 +15,14 @@ class Scan:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._files: DataFrame | None = None
         self._direct: DataFrame | None = None
         self._tree: DataFrame | None = None
 
     def stage(self) -> Scan:
-        """For plans that use them several times: direct usage, and the tree built from it, are written once."""
-        self._direct = staged(tree.direct_usage(self.files))
+        """For plans that use them several times: files, direct usage, and the tree built from it, are written once."""
+        self._files = staged(self.files)
+        self._direct = staged(tree.direct_usage(self._files))
         self._tree = staged(tree.numbered(tree.closure(self._direct)))
         return self
 
@@ -29,7 +31,7 @@ class Scan:
 
     @property
     def files(self) -> DataFrame:
-        return scan.one_per_inode(fixtures.inodes(self.spark, self.sf_dir)).select("path", "uid", "size")
+        return self._files if self._files is not None else scan.one_per_inode(fixtures.inodes(self.spark, self.sf_dir)).select("path", "uid", "size")
 
     @property
     def direct(self) -> DataFrame:
@@ -83,6 +85,11 @@ names AS (SELECT name, CAST(row_number() OVER (ORDER BY min(dir_id)) - 1 AS BIGI
 tree AS (
   SELECT n.dir_id, p.dir_id AS parent_id, n.depth, n.path, n.name, name_id, n.segs
   FROM numbered n JOIN names USING (name) LEFT JOIN numbered p ON n.depth > 0 AND p.segs = n.segs[1:n.depth - 1])"""
+ROOTED = (
+    TREE.replace("SELECT DISTINCT path, segs FROM up)", "SELECT DISTINCT path, segs FROM up WHERE path = '/EUROPE' OR starts_with(path, '/EUROPE/'))")
+    .replace("CAST(len(segs) AS INTEGER) AS depth", "CAST(len(segs) - 1 AS INTEGER) AS depth")
+    .replace("p.segs = n.segs[1:n.depth - 1]", "p.segs = n.segs[1:n.depth]")
+)
 UN = "un AS (SELECT s_suppkey AS uid, s_name AS username FROM supplier WHERE s_suppkey % 10 <> 9)"
 CONFIG = UN + """, cu AS (SELECT s_name AS name, CAST(s_nationkey % 5 AS VARCHAR) AS team_id FROM supplier WHERE s_suppkey % 5 <> 0),
 tm AS (SELECT CAST(r_regionkey AS VARCHAR) AS team_id, r_name AS team FROM region WHERE r_regionkey < 4)"""

@@ -26,26 +26,30 @@ def issues_of(entries: DataFrame) -> DataFrame:
     return entries.where("error is not null").select("uid", "kind", F.col("error").alias("errcode"), "path")
 
 
-def tables(files: DataFrame, usernames: DataFrame, users: DataFrame, owners: DataFrame, events: DataFrame, max_level: int = 3) -> dict[str, DataFrame]:
-    """users, dirs, files, file_names, treemap, names, owners, issues.
+def tables(files: DataFrame, usernames: DataFrame, users: DataFrame, owners: DataFrame, events: DataFrame, max_level: int = 3, root: str = "/", treemap: bool = True) -> dict[str, DataFrame]:
+    """users, dirs, files, file_names, issues; with ``treemap`` also treemap, names, owners.
 
-    Files (each inode once), direct usage and the tree are written once each; all
-    tables are made from those.
+    Files (each inode once), direct usage and the tree from ``root`` on are written
+    once each; all tables are made from those.
     """
     files = staged(files)
     direct = staged(tree.direct_usage(files))
-    nodes = staged(tree.numbered(tree.closure(direct)))
+    nodes = staged(tree.numbered(tree.closure(direct, root), root))
     rows = facts.file_rows(files, nodes)
     names = facts.dictionary(rows, "name", "name_id")
-    seen = facts.owners(nodes, owners)
-    treemap = tree.treemap(nodes, direct, seen, max_level)
-    return {
+    out = {
         "users": facts.user_rows(direct, usernames, users),
-        "dirs": facts.user_dir_rows(direct, nodes),
+        "dirs": facts.user_dir_rows(tree.positive(direct), nodes),
         "file_names": names.select(F.col("name_id").alias("id"), "name"),
         "files": rows.join(names, "name").select("dir_id", "name_id", "ext", "uid", "size"),
-        "treemap": treemap,
-        "names": nodes.join(treemap.select("name_id"), "name_id", "left_semi").select(F.col("name_id").alias("id"), "name").distinct(),
-        "owners": facts.named(treemap.select(F.col("owner_uid").alias("uid")).distinct(), usernames),
         "issues": issues.numbered(issues.owned(events, usernames)),
     }
+    if treemap:
+        seen = facts.owners(nodes, owners)
+        shown = staged(tree.treemap(nodes, direct, seen, max_level, root))
+        out |= {
+            "treemap": shown,
+            "names": nodes.join(shown.select("name_id"), "name_id", "left_semi").select(F.col("name_id").alias("id"), "name").distinct(),
+            "owners": facts.named(shown.select(F.col("owner_uid").alias("uid")).distinct(), usernames),
+        }
+    return out

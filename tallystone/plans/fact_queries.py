@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.paths import basename
-from ..operators import facts
+from ..operators import facts, tree
 from ..registry import query
 from .base import CONFIG, DD, FE, TREE, UN, Scan
 from .tree_queries import TREEMAP
@@ -51,12 +51,12 @@ def fact_user_dirs(spark, sf_dir):
 
 @query("fact_dir_files", f"WITH {DD} SELECT dir, CAST(sum(files) AS BIGINT) AS files, CAST(sum(size) AS BIGINT) AS size FROM dd GROUP BY dir")
 def fact_dir_files(spark, sf_dir):
-    return Scan(spark, sf_dir).direct.groupBy("dir").agg(F.sum("files").alias("files"), F.sum("size").alias("size"))
+    return tree.directory_usage(Scan(spark, sf_dir).direct)
 
 
 @query("fact_child_dirs", f"WITH {TREE} SELECT parent_id, count(*) AS dirs FROM tree WHERE parent_id IS NOT NULL GROUP BY 1")
 def fact_child_dirs(spark, sf_dir):
-    return Scan(spark, sf_dir).stage().tree.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("dirs"))
+    return tree.child_counts(Scan(spark, sf_dir).stage().tree)
 
 
 @query("fact_owners", f"WITH {TREEMAP} SELECT path, owner_uid FROM treemap WHERE path IN (SELECT dir FROM dd GROUP BY dir HAVING min(uid) % 2 = 0)")
@@ -66,8 +66,7 @@ def fact_owners(spark, sf_dir):
 
 @query("fact_largest_owner", f"WITH {DD} SELECT dir, uid FROM (SELECT dir, uid, row_number() OVER (PARTITION BY dir ORDER BY size DESC, uid) AS place FROM dd) WHERE place = 1")
 def largest_owner(spark, sf_dir):
-    rows = Scan(spark, sf_dir).direct
-    return rows.groupBy("dir").agg(F.max_by("uid", F.struct("size", -F.col("uid"))).alias("uid"))
+    return tree.largest_owners(Scan(spark, sf_dir).direct)
 
 
 @query("fact_meta", f"""WITH {TREE}, t AS (SELECT CAST(count(*) AS VARCHAR) AS files, CAST(sum(size) AS VARCHAR) AS size FROM fe), d AS (SELECT CAST(count(*) AS VARCHAR) AS dirs FROM tree)
@@ -86,12 +85,16 @@ def meta_upsert(spark, sf_dir):
     return facts.last_of_key(Scan(spark, sf_dir).table("nation").select(F.substring("n_name", 1, 1).alias("key"), F.col("n_name").alias("value"), F.col("n_nationkey").alias("seq")))
 
 
-@query("fact_meta_missing", "SELECT '' AS value")
-def meta_missing(spark, sf_dir):
-    return facts.meta_value(facts.meta_rows({"scan_root": "/"}, spark), "treemap_db")
+@query("fact_meta_values", "SELECT key, coalesce(value, '') AS value FROM (SELECT DISTINCT r_name[1:1] AS key FROM region UNION SELECT DISTINCT 'x' || r_name[1:1] FROM region) LEFT JOIN (SELECT r_name[1] AS key, max_by(r_name, r_regionkey) AS value FROM region GROUP BY 1) USING (key)")
+def meta_values(spark, sf_dir):
+    """Keys that are there and keys that are not."""
+    region = Scan(spark, sf_dir).table("region")
+    first = F.substring("r_name", 1, 1)
+    meta = facts.last_of_key(region.select(first.alias("key"), F.col("r_name").alias("value"), F.col("r_regionkey").alias("seq")))
+    return facts.meta_values(meta, region.select(F.explode(F.array(first, F.concat(F.lit("x"), first))).alias("key")))
 
 
 @query("st_uid_union", f"WITH {FE}, {UN} SELECT uid FROM fe UNION SELECT uid FROM un")
 def uid_union(spark, sf_dir):
     s = Scan(spark, sf_dir)
-    return s.files.select("uid").union(s.usernames.select("uid")).distinct()
+    return facts.owner_uids(s.files, s.usernames)

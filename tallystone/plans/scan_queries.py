@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import facts, issues, mounts, scan
+from ..operators import facts, issues, mounts, scan, tree
 from ..registry import query
-from ..sources import fixtures, permission_lines
+from ..sources import event_files, fixtures, permission_lines
 from .base import DD, EV, FE, UN, Scan
 
 LINES = """lines AS (
@@ -32,6 +32,26 @@ def events(spark, sf_dir):
     return fixtures.inodes(spark, sf_dir).select("path", "uid", "size", "ino", "dev")
 
 
+@query("src_event_files", f"WITH {EV} SELECT path, uid, size FROM ev")
+def event_payloads(spark, sf_dir):
+    """Written as binary event files and read again."""
+    rows = fixtures.inodes(spark, sf_dir).select("uid", "size", "path")
+    return event_files.parsed(event_files.payloads(rows)).select("path", "uid", "size")
+
+
+@query("src_owner_files", f"WITH {EV} SELECT path, uid FROM ev")
+def owner_payloads(spark, sf_dir):
+    rows = fixtures.inodes(spark, sf_dir).select("uid", "path")
+    return event_files.parsed(event_files.payloads(rows, "dirowner_t"), "dirowner_t").select("path", "uid")
+
+
+@query("src_directory_files", f"WITH {DD} SELECT uid, -size AS size, dir AS path FROM dd")
+def directory_payloads(spark, sf_dir):
+    """Directory sums may be corrections below zero."""
+    rows = Scan(spark, sf_dir).direct.select("uid", (-F.col("size")).alias("size"), F.col("dir").alias("path"))
+    return event_files.parsed(event_files.payloads(rows, "diragg_t"), "diragg_t")
+
+
 @query("src_permission_lines", f"WITH {LINES} SELECT uid, kind, errcode, path FROM perm")
 def permission_events(spark, sf_dir):
     return permission_lines.parse(fixtures.issue_lines(spark, sf_dir))
@@ -89,7 +109,7 @@ def keyword_like(spark, sf_dir):
 
 @query("flt_positive_sizes", f"WITH {DD} SELECT dir, uid, size FROM dd WHERE size > 0")
 def positive_sizes(spark, sf_dir):
-    return Scan(spark, sf_dir).direct.where("size > 0").select("dir", "uid", "size")
+    return tree.positive(Scan(spark, sf_dir).direct).select("dir", "uid", "size")
 
 
 @query("dd_hardlinks", f"WITH {FE} SELECT path, uid, size FROM fe")
@@ -138,6 +158,12 @@ def numbered_issues(spark, sf_dir):
     return issue_rows(spark, sf_dir)
 
 
+@query("iss_grouped", f"WITH {ISSUES}, f AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY path, error, item_type) AS place, count(*) OVER (PARTITION BY user) AS n FROM iss) SELECT user, n AS count, path, item_type, error FROM f WHERE place <= 3")
+def grouped_issues(spark, sf_dir):
+    found = issues.grouped(issue_rows(spark, sf_dir), 3)
+    return found.select("user", "count", F.explode("inaccessible_items").alias("i")).select("user", "count", "i.path", F.col("i.type").alias("item_type"), "i.error")
+
+
 @query("iss_by_user", f"WITH {ISSUES} SELECT user, count(*) AS issues, count(*) FILTER (item_type = 'directory') AS directories, count(*) FILTER (item_type <> 'directory') AS files FROM iss GROUP BY user")
 def issues_by_user(spark, sf_dir):
     return issues.by_user(issue_rows(spark, sf_dir))
@@ -148,12 +174,18 @@ def user_issues(spark, sf_dir):
     return issues.of_user(issue_rows(spark, sf_dir), "__unknown__", 15, "/U1")
 
 
-MOUNTS = ["21 1 8:1 / / rw", "22 21 8:2 / /data rw", "23 22 8:2 / /data/mirror rw", "24 22 8:3 /x /mnt/x rw", "25 22 8:3 /x /data/x rw", "26 22 8:4 /y /data/y rw", "27 22 8:4 /y /data/y2 rw", "28 21 8:4 /y /other rw", "29 x"]
-
-
-@query("flt_duplicate_mounts", "SELECT mount_point FROM (VALUES ('/data/mirror'), ('/data/y2')) t(mount_point)")
+@query(
+    "flt_duplicate_mounts",
+    """WITH m AS (SELECT s_suppkey AS n, s_nationkey AS device, s_suppkey % 3 AS fs, CASE WHEN s_suppkey % 4 = 0 THEN '/other/m' ELSE '/data/m' END || CAST(s_suppkey AS VARCHAR) AS mount_point FROM supplier WHERE s_suppkey % 13 <> 0),
+f AS (SELECT *, row_number() OVER w AS place, first_value(starts_with(mount_point, '/data/')) OVER w AS first_inside FROM m WINDOW w AS (PARTITION BY device, fs ORDER BY n))
+SELECT mount_point FROM f WHERE place > 1 AND first_inside AND starts_with(mount_point, '/data/')""",
+)
 def duplicate_mounts(spark, sf_dir):
-    lines = spark.createDataFrame(list(enumerate(MOUNTS)), "line_no long, value string")
+    """A mount table with a line for each supplier, some cut short."""
+    key = F.col("s_suppkey").cast("string")
+    point = F.concat(F.when(F.col("s_suppkey") % 4 == 0, "/other/m").otherwise("/data/m"), key)
+    line = F.concat_ws(" ", key, F.lit("1"), F.concat(F.lit("8:"), "s_nationkey"), F.concat(F.lit("/r"), F.col("s_suppkey") % 3), point, F.lit("rw"))
+    lines = Scan(spark, sf_dir).table("supplier").select(F.col("s_suppkey").alias("line_no"), F.when(F.col("s_suppkey") % 13 == 0, F.concat(key, F.lit(" x"))).otherwise(line).alias("value"))
     return mounts.duplicate_mounts(lines, "/data/")
 
 

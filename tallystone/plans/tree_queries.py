@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import clamp_depth, from_segments, normalize_root, parent_or_root
+from ..functions.paths import clamp_depth, from_segments, parent_or_root
 from ..operators import tree
 from ..registry import query
-from .base import MINE, SUBTREE, TREE, Scan
+from .base import MINE, ROOTED, SUBTREE, TREE, Scan
 
 TREEMAP = TREE + f""", {SUBTREE}, own AS (SELECT dir AS path, sum(size) AS own_size, CAST(sum(files) AS BIGINT) AS own_files, min(uid) AS low FROM dd GROUP BY dir),
 kids AS (SELECT parent_id AS dir_id, count(*) AS own_dirs FROM tree WHERE parent_id IS NOT NULL GROUP BY 1),
@@ -40,6 +40,17 @@ def numbered(spark, sf_dir):
     return Scan(spark, sf_dir).stage().tree.drop("segs")
 
 
+@query("tr_rooted", f"WITH {ROOTED} SELECT dir_id, parent_id, depth, path, name, name_id FROM tree")
+def rooted(spark, sf_dir):
+    """The tree of a scan whose root is a directory below others."""
+    return tree.numbered(tree.closure(Scan(spark, sf_dir).direct, "/EUROPE"), "/EUROPE").drop("segs")
+
+
+@query("tr_rooted_subtree", f"WITH {ROOTED}, {SUBTREE} SELECT path, total_size, total_files FROM subtree JOIN tree USING (path)")
+def rooted_subtree(spark, sf_dir):
+    return tree.subtree_usage(Scan(spark, sf_dir).direct, "/EUROPE")
+
+
 @query("tr_subtree", f"WITH {TREE}, {SUBTREE} SELECT path, total_size, total_files FROM subtree")
 def subtree(spark, sf_dir):
     return tree.subtree_usage(Scan(spark, sf_dir).direct)
@@ -57,6 +68,14 @@ def treemap_levels(spark, sf_dir):
     return tree.treemap(s.tree, s.direct, s.owners, 2)
 
 
+@query("tr_rooted_treemap", f"WITH {TREEMAP.replace(TREE, ROOTED)} SELECT * EXCLUDE (depth) FROM treemap WHERE depth <= 1")
+def rooted_treemap(spark, sf_dir):
+    """Levels count from the scan root."""
+    s = Scan(spark, sf_dir).stage()
+    nodes = tree.numbered(tree.closure(s.direct, "/EUROPE"), "/EUROPE")
+    return tree.treemap(nodes, s.direct, s.owners, 1, "/EUROPE")
+
+
 @query("tr_user_rollup", f"""WITH {TREE.replace("regexp_replace(path, '/[^/]*$', '') AS dir", "CASE WHEN uid % 3 = 0 THEN regexp_replace(path, '/[^/]*/[^/]*$', '') ELSE regexp_replace(path, '/[^/]*$', '') END AS dir")}, {MINE} SELECT uid, path, used FROM mine""")
 def user_rollup(spark, sf_dir):
     path = F.when(F.col("uid") % 3 == 0, parent_or_root(F.col("path"))).otherwise(F.col("path"))
@@ -75,8 +94,8 @@ def descendants(spark, sf_dir):
 
 @query("tr_path_to_id", f"WITH {TREE} SELECT dir_id, path FROM tree WHERE path IN ('/', '/EUROPE', '/AFRICA/NATION_0')")
 def path_to_id(spark, sf_dir):
-    wanted = spark.createDataFrame([("",), ("/EUROPE/",), ("/AFRICA/NATION_0",), ("/nowhere",)], "p string").select(normalize_root(F.col("p")).alias("path"))
-    return Scan(spark, sf_dir).stage().tree.join(wanted, "path", "left_semi").select("dir_id", "path")
+    wanted = spark.createDataFrame([("",), ("/EUROPE/",), ("/AFRICA/NATION_0",), ("/nowhere",)], "path string")
+    return tree.ids_of(Scan(spark, sf_dir).stage().tree, wanted)
 
 
 @query("tr_clamped", f"WITH {TREE} SELECT '/' || array_to_string(string_split(substr(dir, 2), '/')[1:2], '/') AS path, CAST(sum(size) AS BIGINT) AS size FROM dd GROUP BY 1")
@@ -87,7 +106,7 @@ def clamped(spark, sf_dir):
 @query("rq10_tree_view", f"WITH RECURSIVE {TREEMAP}, {views('treemap', '/', 3, 3, 'total_size')} SELECT path, depth, place, hidden, total_size FROM walk")
 def tree_view(spark, sf_dir):
     s = Scan(spark, sf_dir)
-    rows = tree.subtree_usage(s.direct).select("path", "total_size")
+    rows = tree.subtree_usage(s.direct, deepest=3).select("path", "total_size")
     return tree.view(rows, "/", 3, 3, "total_size").select("path", "depth", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"), "total_size")
 
 
@@ -97,7 +116,7 @@ def tree_view(spark, sf_dir):
 )
 def user_tree_view(spark, sf_dir):
     mine = Scan(spark, sf_dir).direct.where("uid = 7")
-    rows = tree.subtree_usage(mine).where("total_size > 0").select("path", F.col("total_size").alias("used"))
+    rows = tree.subtree_usage(mine, "/EUROPE", deepest=3).where("total_size > 0").select("path", F.col("total_size").alias("used"))
     return tree.view(rows, "/EUROPE", 2, 2, "used").select("path", "depth", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"), "used")
 
 

@@ -46,8 +46,22 @@ def pack(kind: str, rows: Iterator[tuple]) -> bytes:
     return b"".join(out)
 
 
-def read(spark: SparkSession, folder: str, kind: str = "scan_t") -> DataFrame:
-    """uid, size, path of all ``<kind>*.bin`` files of a folder, control characters replaced."""
+def payloads(rows: DataFrame, kind: str = "scan_t") -> DataFrame:
+    """content: event files of at most ``ROWS_A_BATCH`` of the rows (uid, size, path; owners: uid, path)."""
+    names = ["uid", "path"] if kind == "dirowner_t" else ["uid", "size", "path"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS_A_BATCH):
+                part = b.slice(at, ROWS_A_BATCH)
+                content = pack(kind, zip(*(part[c].to_pylist() for c in names), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], names=["content"])
+
+    return rows.select(*names).mapInArrow(run, "content binary")
+
+
+def parsed(files: DataFrame, kind: str = "scan_t") -> DataFrame:
+    """uid, size, path of the records of event files (content), control characters replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,13 +70,17 @@ def read(spark: SparkSession, folder: str, kind: str = "scan_t") -> DataFrame:
                 for row in records(raw.as_py(), kind):
                     part.append(row)
                     if len(part) == ROWS_A_BATCH:
-                        yield packed(part)
+                        yield batch(part)
                         part = []
-                yield packed(part)
+                yield batch(part)
 
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["uid", "size", "path"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{kind}*.bin").load(folder).select("content")
-    return files.mapInArrow(run, "uid long, size long, path string").withColumn("path", sanitize(F.col("path")))
+    return files.select("content").mapInArrow(run, "uid long, size long, path string").withColumn("path", sanitize(F.col("path")))
+
+
+def read(spark: SparkSession, folder: str, kind: str = "scan_t") -> DataFrame:
+    """uid, size, path of all ``<kind>*.bin`` files of a folder, control characters replaced."""
+    return parsed(spark.read.format("binaryFile").option("pathGlobFilter", f"{kind}*.bin").load(folder), kind)
