@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import errno
 import os
 import time
 from datetime import datetime
@@ -25,6 +26,8 @@ from .staging import staged
 from .status import Heartbeat
 from .sync import Target
 
+#: Exit status of a run that found no space to write to.
+NO_SPACE = 2
 TABLES = ["users", "dirs", "files", "file_names", "treemap", "names", "owners", "issues"]
 
 
@@ -46,6 +49,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output-dir", default=".")
     p.add_argument("--tree-map", action="store_true")
     p.add_argument("--webhook-url")
+    p.add_argument("--sync", action="store_true")
+    p.add_argument("--sync-pass", default="")
+    p.add_argument("--debug", action="store_true")
     p.add_argument("--sync-host")
     p.add_argument("--sync-user", default="")
     p.add_argument("--sync-dest-dir")
@@ -72,40 +78,64 @@ def session(workers: int | None = None) -> SparkSession:
     return b.config("spark.sql.adaptive.enabled", "true").getOrCreate()
 
 
-def run(spark: SparkSession, config: dict, folder: str, output: str, prefix: str = "", level: int = 3, targets: list[str] | None = None) -> dict:
+def run(spark: SparkSession, config: dict, folder: str, output: str, prefix: str = "", level: int = 3, targets: list[str] | None = None, tree_map: bool = True, beat: Heartbeat | None = None) -> dict:
     """Scan the configured directory, write the tables and the reports; returns the usage report."""
+    if beat is None:
+        with Heartbeat(folder) as own:
+            return run(spark, config, folder, output, prefix, level, targets, tree_map, own)
     root, began = config["directory"].rstrip("/") or "/", int(time.time())
-    with Heartbeat(folder) as beat:
-        skip = [os.path.join(root, s) if not s.startswith("/") else s for s in config.get("exclude_patterns", [])]
-        twice = [r[0] for r in mounts.duplicate_mounts(documents.mount_lines(spark), root).collect()]
-        stage = f"{folder}/entries"
-        filesystem.entries(spark, root, skip, twice).write.mode("overwrite").parquet(stage)
-        entries = staged(scan.entered_once(spark.read.parquet(stage)))
-        names = documents.host_usernames(spark)
-        users, teams = documents.config_tables(spark, config)
-        wanted = names.join(spark.createDataFrame([(u,) for u in targets], "username string"), "username", "left_semi").select("uid") if targets else None
-        beat.phase("report")
-        files = build.files_of(entries, wanted)
-        counts = scan.counters(entries.where("error is null")).first().asDict()
-        sizes = files.groupBy("uid").agg(F.sum("size").alias("size"), F.count("*").alias("files"))
-        rows = classify.classified(sizes, names, users, teams)
-        room = documents.capacity(root)
-        report = sinks.usage_report(classify.summary(rows), root, began, room)
-        sinks.write_json(report, output)
-        inodes = sinks.inode_report(rows.select(F.col("username").alias("name"), "inodes"), root, began, room, counts["total_inodes"])
-        sinks.write_json(inodes, sinks.sibling_path(output, "inode_usage_report", prefix))
-        beat.phase("detail")
-        made = build.tables(files, names, users, build.owners_of(entries), build.issues_of(entries), level)
-        made["meta"] = facts.meta_rows({"scan_root": root, "scan_timestamp": str(began), "schema_version": "1", **{k: str(v) for k, v in counts.items()}}, spark)
-        sinks.write_tables(made, folder)
+    skip = [os.path.join(root, s) if not s.startswith("/") else s for s in config.get("exclude_patterns", [])]
+    twice = [r[0] for r in mounts.duplicate_mounts(documents.mount_lines(spark), root).collect()]
+    walked = staged(filesystem.entries(spark, root, skip, twice))
+    entries = staged(scan.entered_once(walked))
+    names = documents.host_usernames(spark)
+    users, teams = documents.config_tables(spark, config)
+    wanted = names.join(spark.createDataFrame([(u,) for u in targets], "username string"), "username", "left_semi").select("uid") if targets else None
+    beat.phase("report")
+    files = staged(build.files_of(entries, wanted))
+    counts = scan.counters(entries.where("error is null")).first().asDict()
+    sizes = files.groupBy("uid").agg(F.sum("size").alias("size"), F.count("*").alias("files"))
+    rows = staged(classify.classified(sizes, names, users, teams))
+    room = documents.capacity(root)
+    report = sinks.usage_report(classify.summary(rows), root, began, room)
+    sinks.write_json(report, output)
+    inodes = sinks.inode_report(rows.select(F.col("username").alias("name"), "inodes"), root, began, room, counts["total_inodes"])
+    sinks.write_json(inodes, sinks.sibling_path(output, "inode_usage_report", prefix))
+    beat.phase("treemap" if tree_map else "detail")
+    made = build.tables(files, names, users, build.owners_of(entries), build.issues_of(entries), level, root, tree_map)
+    made["issues"] = staged(made["issues"])
+    counted = [r.asDict() for r in issues.by_user(made["issues"]).orderBy("user").collect()]
+    total = {"scan_root": root, "scan_timestamp": str(began), "schema_version": "1", "issues": str(sum(r["issues"] for r in counted)), **{k: str(v) for k, v in counts.items()}}
+    made["meta"] = facts.meta_rows(total, spark)
+    sinks.write_tables(made, folder)
+    report["scan"] = {"seconds": max(1, int(time.time()) - began), "issues": counted, **counts}
     return report
 
 
+def run_summary(report: dict, files: list[str]) -> str:
+    """What a run prints: totals and rate, capacity, teams, the largest users, issue counts, and what was written."""
+    found, room = report["scan"], report["general_system"]
+    whole = room.get("total") or 1
+    share = lambda used: f"{render.bar(used / whole * 100)} {used / whole * 100:.1f}%"
+    rate = found["total_files"] / found["seconds"]
+    out = [
+        f"{found['total_files']} files, {found['total_dirs']} directories, {render.size_text(found['total_size'])} in {found['seconds']} s ({rate:.0f} files a second)",
+        f"Capacity {render.size_text(room.get('total', 0))}, used {render.size_text(room.get('used', 0))}, free {render.size_text(room.get('available', 0))}",
+    ]
+    others = sum(r["used"] for r in report["other_usage"])
+    teams = sorted([*report["team_usage"], {"name": "Other", "used": others}], key=lambda r: (-r["used"], r["name"]))
+    parts = [("team", teams, "Teams"), ("user", report["user_usage"][:20], "Largest users"), ("user", report["other_usage"][:20], "Largest other users")]
+    out += [render.table([head, "used", "share"], [(r["name"], render.size_text(r["used"]), share(r["used"])) for r in rows], title) for head, rows, title in parts if rows]
+    if found["issues"]:
+        out.append(render.table(["user", "issues"], [(r["user"], r["issues"]) for r in found["issues"]], "Entries that could not be read"))
+    out += [f"{path}  ({render.size_text(os.path.getsize(path))})" for path in files if os.path.isfile(path)]
+    return "\n".join(out)
+
+
 def show_reports(spark: SparkSession, files: list[str], users: list[str] | None, by: str) -> str:
     """One report's usage, or the comparison of several."""
-    lost = [f for f in files if not os.path.exists(f)]
-    if lost:
-        return "\n".join(f"Not found: {f}" for f in lost)
+    if lost := documents.unreadable(files):
+        return "\n".join(lost)
     rows = documents.reports(spark, files)
     if len(files) == 1:
         total = (documents.load_json(files[0]).get("general_system") or {}).get("total") or 1
@@ -149,10 +179,10 @@ def detail(spark: SparkSession, folder: str, users: list[str], kind: str, top: i
         if kind in ("report", "files"):
             found = reports.user_files(files_with_paths(t), uid, top, search).collect()
             out.append(render.table(["size", "file"], [(render.size_text(r["size"]), r["path"]) for r in found], f"{user}: top {len(found)} files"))
-        if kind == "inode":
+        if kind in ("report", "inode"):
             found = reports.user_inodes(direct, uid, top, search).collect()
             out.append(render.table(["files", "directory"], [(r["files"], r["path"]) for r in found], f"{user}: inodes"))
-        if kind == "permission":
+        if kind in ("report", "permission"):
             found = issues.of_user(t["issues"], user, top, search).collect()
             total = found[0]["total"] if found else 0
             out.append(render.table(["type", "error", "path"], [(r["item_type"], r["error"], r["path"]) for r in found], f"{user}: top {len(found)} of {total} issues"))
@@ -196,7 +226,7 @@ def main(argv: list[str] | None = None) -> int:
         said.append(config.add_team(a.add_team))
     said += [config.add_user(u, a.team or "") for u in a.add_user or []]
     said += [config.remove_user(u) for u in a.remove_user or []]
-    if not (a.run or a.list or a.show_report or a.detail or a.tree_show or a.export):
+    if not (a.run or a.sync or a.list or a.show_report or a.detail or a.tree_show or a.export):
         print("\n".join(said))
         return 0
     spark = session(a.workers)
@@ -206,12 +236,26 @@ def main(argv: list[str] | None = None) -> int:
             said += [team, render.grid([r["name"] for r in members if r["team"] == team])]
     if a.run:
         output = sinks.output_path(config.data.get("output_file", "report.json"), a.output_dir, a.output, a.prefix, datetime.now() if a.date else None)
-        report = run(spark, config.data, a.output_dir, output, a.prefix, a.level, a.user)
-        said.append(render.table(["team", "used"], [(r["name"], render.size_text(r["used"])) for r in report["team_usage"]], report["directory"]))
+        try:
+            with Heartbeat(a.output_dir) as beat:
+                report = run(spark, config.data, a.output_dir, output, a.prefix, a.level, a.user, a.tree_map, beat)
+                if a.sync_host:
+                    beat.phase("sync")
+                    if not Target(a.sync_host, a.sync_dest_dir or a.output_dir, a.sync_user, password=a.sync_pass).push_folder(a.output_dir, compress=True):
+                        said.append("The copy to the other host failed.")
+        except KeyboardInterrupt:
+            print("Stopped. Tables and reports of the last whole run stay.")
+            return 130
+        except Exception as e:
+            if a.debug:
+                raise
+            print(f"The run failed: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+            return NO_SPACE if isinstance(e, OSError) and e.errno == errno.ENOSPC or "No space left on device" in str(e) else 1
+        said.append(run_summary(report, [output, sinks.sibling_path(output, "inode_usage_report", a.prefix), os.path.join(a.output_dir, sinks.CURRENT)]))
         if a.webhook_url and not notify.send(a.webhook_url, report):
             said.append("The notification was not delivered.")
-        if a.sync_host and not Target(a.sync_host, a.sync_dest_dir or a.output_dir, a.sync_user).push_folder(a.output_dir):
-            said.append("The copy to the other host failed.")
+    elif a.sync and a.sync_host and not Target(a.sync_host, a.sync_dest_dir or a.output_dir, a.sync_user, password=a.sync_pass).push_folder(a.output_dir, compress=True):
+        said.append("The copy to the other host failed.")
     if a.show_report:
         said.append(show_reports(spark, documents.expand(a.files or []), a.user, a.compare_by))
     if a.detail:

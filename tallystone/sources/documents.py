@@ -54,6 +54,27 @@ def host_usernames(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p.pw_uid, p.pw_name) for p in pwd.getpwall()], "uid long, username string")
 
 
+def username_of(uid: int) -> str:
+    """The host's name of a uid, ``uid-N`` without one."""
+    try:
+        return pwd.getpwuid(uid).pw_name
+    except KeyError:
+        return f"uid-{uid}"
+
+
+def owner_of(path: str) -> str | None:
+    """Who owns a path of this host; none if it cannot be asked. Links count themselves."""
+    try:
+        return username_of(os.lstat(path).st_uid)
+    except OSError:
+        return None
+
+
+def unreadable(paths: list[str]) -> list[str]:
+    """What there is to say about report files that are missing or hold no report."""
+    return [f"Not found: {p}" if not os.path.exists(p) else f"No report: {p}" for p in paths if "date" not in load_json(p)]
+
+
 def capacity(path: str) -> dict[str, int]:
     """Bytes and inodes of the file system; zeros if it cannot be asked."""
     names = ("total", "used", "available", "inodes_total", "inodes_used", "inodes_free")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import os
-import re
+import shutil
+import time
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,18 +14,41 @@ from pyspark.sql import functions as F
 from ..functions.paths import safe_file_name
 
 
-def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
-    """One Parquet table each; readers see a table's old or its new files."""
+#: The file that names the folder of a scan's tables, and what such folders are called.
+CURRENT, VERSION = "tables.json", "tables-"
+
+
+def write_tables(tables: dict[str, DataFrame], folder: str) -> str:
+    """One Parquet table each in a new folder, which ``folder`` names once all are there; readers see all old or all new tables.
+
+    Folders of earlier runs, whole or cut short, go afterwards. Returns the folder.
+    """
+    version = f"{VERSION}{time.time_ns():x}"
     for name, rows in tables.items():
-        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}")
+        rows.write.option("compression", "zstd").parquet(f"{folder}/{version}/{name}")
+    write_json({"folder": version}, os.path.join(folder, CURRENT))
+    for old in os.listdir(folder):
+        if old.startswith(VERSION) and old != version:
+            shutil.rmtree(os.path.join(folder, old), ignore_errors=True)
+    return f"{folder}/{version}"
+
+
+def tables_folder(folder: str) -> str | None:
+    """Where the tables are that ``folder`` names."""
+    try:
+        with open(os.path.join(folder, CURRENT), encoding="utf-8") as f:
+            return os.path.join(folder, json.load(f)["folder"])
+    except (OSError, ValueError, KeyError):
+        return None
 
 
 def read_tables(spark: SparkSession, folder: str, names: list[str], prefix: str = "") -> dict[str, DataFrame]:
     """The tables that are there, also as views ``<prefix><name>``."""
     out = {}
+    at = tables_folder(folder) or folder
     for name in names:
         try:
-            out[name] = spark.read.parquet(f"{folder}/{name}")
+            out[name] = spark.read.parquet(f"{at}/{name}")
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -34,10 +58,10 @@ def read_tables(spark: SparkSession, folder: str, names: list[str], prefix: str
 
 
 def find_tables(hint: str, needed: str = "users", most: int = 6) -> str | None:
-    """The folder with the table ``needed``: the hint or one of its parents."""
+    """The folder that names a place with the table ``needed``: the hint or one of its parents."""
     at = os.path.abspath(hint)
     for _ in range(most + 1):
-        if os.path.isdir(os.path.join(at, needed)):
+        if os.path.isdir(os.path.join(tables_folder(at) or at, needed)):
             return at
         at = os.path.dirname(at)
     return None
@@ -57,8 +81,32 @@ def sibling_path(output: str, base: str, prefix: str = "") -> str:
 
 
 def compact_json(document: object, indent: int = 4) -> str:
-    """Indented JSON with objects that hold no other on one line."""
-    return re.sub(r"\{[^{}\[\]]*\}", lambda m: " ".join(m[0].split()), json.dumps(document, indent=indent))
+    """Indented JSON in which an object of plain values takes one line."""
+    lines: list[str] = []
+
+    def plain(value: object) -> bool:
+        return not isinstance(value, (dict, list, tuple))
+
+    def put(value: object, lead: str, depth: int, tail: str) -> None:
+        pad = " " * (indent * depth)
+        if isinstance(value, dict) and value and (not all(map(plain, value.values())) or not depth):
+            lines.append(f"{pad}{lead}{{")
+            for i, (key, inner) in enumerate(value.items()):
+                put(inner, f"{json.dumps(str(key))}: ", depth + 1, "," * (i < len(value) - 1))
+            lines.append(f"{pad}}}{tail}")
+        elif isinstance(value, (list, tuple)) and value:
+            lines.append(f"{pad}{lead}[")
+            for i, inner in enumerate(value):
+                put(inner, "", depth + 1, "," * (i < len(value) - 1))
+            lines.append(f"{pad}]{tail}")
+        elif isinstance(value, dict) and value:
+            pairs = ", ".join(f"{json.dumps(str(k))}: {json.dumps(v)}" for k, v in value.items())
+            lines.append(f"{pad}{lead}{{ {pairs} }}{tail}")
+        else:
+            lines.append(f"{pad}{lead}{json.dumps(value)}{tail}")
+
+    put(document, "", 0, "")
+    return "\n".join(lines)
 
 
 def write_json(document: object, path: str) -> None:
