@@ -6,10 +6,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone import cli, notify, sync
+from tallystone import cli, notify, status, sync
 from tallystone.config import Config
 from tallystone.functions import formats, paths, render
-from tallystone.operators import compare, issues, scan, tree
+from tallystone.operators import compare, issues, mounts, numbering, scan, tree
 from tallystone.plans import build
 from tallystone.sources import documents, event_files, filesystem, permission_lines, sinks
 from tallystone.streaming import incremental
@@ -209,3 +209,105 @@ def test_card_and_copies(tmp_path):
     assert "'/srv/re ports.staging'" in seen[0][2].replace("'\"'\"'", "'") and seen[1][-2] == "me@host" and seen[2][-1].endswith("'/srv/re ports/r.json'")
     failing = sync.Target("host", "/srv", run=lambda args, **k: 1)
     assert not failing.push_folder(str(tmp_path))
+
+
+def test_the_tree_begins_at_the_scan_root(spark):
+    dirs = ["/top/data/b/c", "/top/data/a", "/top/data/a-b/z", "/top/other/x", "/top/data2"]
+    rows = tree.numbered(tree.closure(spark.createDataFrame([(d,) for d in dirs], "dir string"), "/top/data"), "/top/data").orderBy("dir_id").collect()
+    assert [(r.dir_id, r.parent_id, r.depth, r.path, r.name) for r in rows] == [
+        (0, None, 0, "/top/data", "data"), (1, 0, 1, "/top/data/a", "a"), (2, 0, 1, "/top/data/a-b", "a-b"), (3, 0, 1, "/top/data/b", "b"), (4, 2, 2, "/top/data/a-b/z", "z"), (5, 3, 2, "/top/data/b/c", "c"),
+    ]
+    assert [r.name_id for r in rows] == [0, 1, 2, 3, 4, 5]
+    direct = spark.createDataFrame([(d, 1, 10, 1) for d in dirs], "dir string, uid long, size long, files long")
+    sums = {r.path: r.total_size for r in tree.subtree_usage(direct, "/top/data", 3).collect()}
+    assert sums == {"/top/data": 30, "/top/data/a": 10, "/top/data/a-b": 10, "/top/data/b": 10}
+
+
+@pytest.mark.parametrize("level", [1, 2, 3])
+def test_treemap_levels_under_a_deep_root(spark, tmp_path, level):
+    root, out = tmp_path / "a/b/data", tmp_path / "out"
+    (root / "x/y/z/deep").mkdir(parents=True)
+    out.mkdir()
+    (root / "x/y/z/deep/f").write_bytes(b"z" * 9000)
+    (root / "x/empty").write_bytes(b"")
+    config = Config(str(tmp_path / "c.json"))
+    config.init(str(root))
+    report = cli.run(spark, config.data, str(out), str(out / "r.json"), level=level)
+    t = sinks.read_tables(spark, str(out), cli.TABLES)
+    shown = {r.path.removeprefix(str(root)): (r.dir_id, r.total_size) for r in t["treemap"].collect()}
+    used = (root / "x/y/z/deep/f").stat().st_blocks * 512
+    want = ["", "/x", "/x/y", "/x/y/z", "/x/y/z/deep"][: level + 1]
+    assert shown == {p: (i, used) for i, p in enumerate(want)}
+    assert {r.path.removeprefix(str(root)) for r in t["dirs"].collect()} == {"/x/y/z/deep"}
+    assert "x  [" in cli.show_tree(spark, str(out), "", level, 5, "", None)
+    text = cli.run_summary(report, [str(out / "r.json")])
+    assert "2 files, 5 directories" in text and "r.json  (" in text and "Other" in text
+
+
+def test_tables_are_switched_at_once(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    first = sinks.write_tables({"users": one, "dirs": one}, str(tmp_path))
+    with pytest.raises(ValueError, match="broken"):
+        sinks.write_tables({"users": two, "dirs": type("Broken", (), {"write": property(lambda _: (_ for _ in ()).throw(ValueError("broken")))})()}, str(tmp_path))
+    assert sinks.tables_folder(str(tmp_path)) == first
+    assert sinks.read_tables(spark, str(tmp_path), ["users", "dirs", "none"])["users"].count() == 3
+    second = sinks.write_tables({"users": two}, str(tmp_path))
+    assert [p.name for p in tmp_path.glob("tables-*")] == [os.path.basename(second)]
+    assert set(sinks.read_tables(spark, str(tmp_path), ["users", "dirs"])) == {"users"}
+    assert sinks.find_tables(str(tmp_path / "x/y")) == str(tmp_path)
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    names = [f"part-{i:05d}" for i in range(3000)] + ["a", "zz", "é"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").repartition(7)
+    got = {r.name: r.n for r in numbering.numbered_by(rows, "n", "name").collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=str.encode))}
+    assert numbering.numbered_by(rows.limit(0), "n", "name").count() == 0
+
+
+MOUNTS = ["21 1 8:1 / / rw", "22 21 8:2 / /data rw", "23 22 8:2 / /data/mirror rw", "24 22 8:3 /x /mnt/x rw", "25 22 8:3 /x /data/x rw", "26 22 8:4 /y /data/y rw", "27 22 8:4 /y /data/y2 rw", "28 21 8:4 /y /other rw", "29 x"]
+
+
+def test_mounts_met_before(spark):
+    lines = spark.createDataFrame(list(enumerate(MOUNTS)), "line_no long, value string")
+    assert sorted(r[0] for r in mounts.duplicate_mounts(lines, "/data/").collect()) == ["/data/mirror", "/data/y2"]
+
+
+def test_names_in_both_lists_and_gaps(spark):
+    rows = spark.createDataFrame([(1, "user", "a", 5), (1, "other", "a", 9), (2, "user", "a", 0), (2, "other", "a", 7), (1, "other", "b", 3)], "day long, source string, name string, used long")
+    assert sorted(map(tuple, compare.series(rows).select("day", "name", "used").collect())) == [(1, "a", 5), (1, "b", 3), (2, "a", 7), (2, "b", 0)]
+
+
+def test_interface():
+    import tallystone
+
+    assert all(getattr(tallystone, name) is not None for name in tallystone.__all__)
+    assert tallystone.owner_of("/nowhere") is None and tallystone.owner_of("/") == "root" and tallystone.username_of(4_000_000) == "uid-4000000"
+    assert tallystone.bar(50, 4) == "[##--]" and tallystone.time_text(None) == "" and tallystone.time_text(0, "%Y") in ("1969", "1970")
+
+
+def test_reports_that_cannot_be_read(spark, tmp_path):
+    (tmp_path / "bad.json").write_text("{")
+    assert cli.show_reports(spark, [str(tmp_path / "bad.json"), str(tmp_path / "none.json")], None, "growth") == f"No report: {tmp_path}/bad.json\nNot found: {tmp_path}/none.json"
+
+
+def test_progress():
+    p = status.Progress(begin=100.0)
+    p.enter("sync", "copying")
+    seen = p.document(now=90)
+    assert seen["stage"] == "sync" and seen["total_elapsed_sec"] == 0 and seen["running"] and seen["finished_at"] == 0
+    with pytest.raises(ValueError, match="phase"):
+        p.enter("nothing")
+
+
+def test_copies_fall_back_without_a_compressor(tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sync.shutil, "which", lambda name: name)
+
+    def run(args, **_):
+        seen.append(" ".join(args))
+        return 1 if "zstd -q -d" in seen[-1] else 0
+
+    assert sync.Target("host", "/srv/r", run=run, password="secret").push_folder(str(tmp_path), compress=True)
+    assert any("command -v zstd" in c for c in seen) and not any("secret" in c for c in seen)
+    assert sum("tar -C" in c for c in seen) == 2 and seen[-1].startswith("sshpass -e ssh")
