@@ -62,6 +62,11 @@ class Writer:
             out.append(f'<li><a href="/{self.word()}">{name}</a></li>')
         return "<ul>" + "".join(out) + "</ul>"
 
+    def row(self, n: int, between: str, label: int = 0) -> str:
+        """Links side by side, one block."""
+        self.labels.append(label)
+        return between.join(f'<a href="/{self.word()}">{self.rng.choice([*SHORT, self.word()])}</a>' for _ in range(n)) + "\n"
+
     def named(self, tag: str, hints: str, inner: str, bare: float = 0.35) -> str:
         """The element, or a div that only its class or id tells."""
         pick, how = self.rng.choice(hints.split()), self.rng.random()
@@ -73,6 +78,8 @@ class Writer:
 
 def clutter(w: Writer, kind: str) -> str:
     rng = w.rng
+    if kind == "nav" and rng.random() < 0.25:
+        return w.named("nav", "nav menu navbar breadcrumb navigation", w.row(rng.randint(2, 7), rng.choice([" ", " | ", "<br>", " · "])), 0.5)
     if kind == "nav":
         return w.named("nav", "nav menu navbar breadcrumb navigation", w.links(rng.randint(2, 8)), 0.5)
     if kind == "header":
@@ -80,6 +87,9 @@ def clutter(w: Writer, kind: str) -> str:
     if kind == "footer":
         n = rng.randint(1, 3)
         return w.named("footer", "footer copyright colophon legal", "".join(w.block(rng.choice(["p", "div"]), w.fill(rng.choice([*FEET, "{s}"])), 0) for _ in range(n)) + (w.links(4) if rng.random() < 0.3 else ""), 0.5)
+    if kind == "aside" and rng.random() < 0.25:
+        inner = "".join(f"<article>{w.block(rng.choice(['h3', 'h4']), w.words(rng.randint(1, 4)), 0)}{w.block('p', w.sentences(1), 0)}</article>" for _ in range(rng.randint(1, 3)))
+        return w.named("aside", "sidebar widget rail related", inner, 0.6)
     if kind == "aside":
         return w.named("aside", "sidebar widget rail side", w.block("h3", w.words(2), 0) + w.links(rng.randint(2, 5)) + (w.block("p", w.sentences(rng.randint(1, 2)), 0) if rng.random() < 0.5 else ""))
     if kind == "ad":
@@ -92,45 +102,80 @@ def clutter(w: Writer, kind: str) -> str:
     if kind == "share":
         return w.named("div", "share social related tags pagination recommended", w.links(rng.randint(2, 4)) + (w.block("p", w.words(4), 0) if rng.random() < 0.4 else ""))
     out = w.block("h3", rng.choice(["Comments", "3 comments", "Discussion", w.word()]), 0)
+    if rng.random() < 0.25:
+        out += "<ol>" + "".join(f"<li>{w.block('p', w.fill(rng.choice([*TALK, '{s}'])), 0)}</li>" for _ in range(rng.randint(1, 4))) + "</ol>"
+        return w.named(rng.choice(["section", "div"]), "comments commentlist respond discussion replies", out, 0.0)
     for _ in range(rng.randint(1, 4)):
         out += w.named("div", "comment reply comment-body", w.block("p", w.fill(rng.choice([*TALK, "{s}"])), 0))
     return w.named("section", "comments commentlist respond discussion replies", out, 0.1)
 
 
-def article(w: Writer) -> str:
+def pieces(w: Writer) -> list[str]:
+    """The article's own parts in order, clutter between them included."""
     rng = w.rng
-    out = ""
-    if rng.random() < 0.85:
-        title = w.block(rng.choice(["h1", "h1", "h1", "h2"]), w.words(rng.randint(1, 10)).capitalize(), 1)
-        out += f"<header>{title}</header>" if rng.random() < 0.1 else title
+    out = []
     for i in range(rng.randint(1, 9)):
         how = rng.random()
-        if how < 0.72 or not i:
+        if how < 0.68 or not i:
             cue = " " + rng.choice(CUES) if rng.random() < 0.08 else ""
-            out += w.block(rng.choice(["p", "p", "p", "p", "div"]), w.sentences(rng.randint(1, 6)) + cue, 1)
-        elif how < 0.8:
-            out += w.block(rng.choice(["h2", "h2", "h3"]), w.words(rng.randint(1, 6)).capitalize(), 1)
-        elif how < 0.87:
-            out += "<ul>" + "".join(w.block("li", w.words(rng.randint(1, 12)), 1) for _ in range(rng.randint(2, 4))) + "</ul>"
-        elif how < 0.9:
-            out += f"<blockquote>{w.block('p', w.sentences(1), 1)}</blockquote>"
+            out.append(w.block(rng.choice(["p", "p", "p", "p", "div"]), w.sentences(rng.randint(1, 6)) + cue, 1))
+        elif how < 0.76:
+            out.append(w.block(rng.choice(["h2", "h2", "h3"]), w.words(rng.randint(1, 6)).capitalize(), 1))
+        elif how < 0.83:
+            tag = rng.choice(["ul", "ul", "ol"])
+            out.append(f"<{tag}>" + "".join(w.block("li", w.words(rng.randint(1, 12)), 1) for _ in range(rng.randint(2, 4))) + f"</{tag}>")
+        elif how < 0.855:
+            out.append("<dl>" + "".join(w.block("dt", w.words(rng.randint(1, 3)), 1) + w.block("dd", w.sentences(1), 1) for _ in range(rng.randint(1, 3))) + "</dl>")
+        elif how < 0.88:
+            out.append(f"<blockquote>{w.block('p', w.sentences(1), 1)}</blockquote>")
+        elif how < 0.905:
+            head = "".join(w.block("th", w.words(1), 1) for _ in range(2)) if rng.random() < 0.5 else ""
+            out.append(f"<table><tr>{head}<tr>" + "".join(w.block("td", w.words(rng.randint(1, 4)), 1) for _ in range(4)) + "</tr></table>")
         elif how < 0.92:
-            out += "<table><tr>" + "".join(w.block("td", w.words(rng.randint(1, 4)), 1) for _ in range(4)) + "</tr></table>"
+            out.append(w.block("pre", w.words(rng.randint(2, 12)), 1) if rng.random() < 0.5 else f"<figure><img src=x>{w.block('figcaption', w.words(rng.randint(2, 9)).capitalize(), 1)}</figure>")
         elif how < 0.95:
-            out += clutter(w, "ad")
+            out.append(clutter(w, "ad"))
         elif how < 0.97:
-            out += clutter(w, rng.choice(["share", "aside", "notice"]))
+            out.append(clutter(w, rng.choice(["share", "aside", "notice"])))
         else:
-            out += w.block("p", w.words(rng.randint(1, 3)).capitalize() + ".", 1)
+            out.append(w.block("p", w.words(rng.randint(1, 3)).capitalize() + ".", 1))
+    return out
+
+
+def article(w: Writer) -> str:
+    rng = w.rng
+    out = ""
+    if rng.random() < 0.85:
+        title = w.block(rng.choice(["h1", "h1", "h1", "h2"]), w.words(rng.randint(1, 10)).capitalize(), 1)
+        out += f"<header>{title}</header>" if rng.random() < 0.1 else title
+    if rng.random() < 0.2:
+        for _ in range(rng.randint(1, 3)):
+            head = w.block("h2", w.words(rng.randint(1, 6)).capitalize(), 1) if rng.random() < 0.7 else ""
+            out += f"<section>{head}{''.join(pieces(w))}</section>"
+    else:
+        out += "".join(pieces(w))
     if rng.random() < 0.15:
         out += clutter(w, "talk")
     return w.named(rng.choice(["article", "article", "main", "div"]), "content article post entry story post-content", out, 0.6)
 
 
+def laid_out(w: Writer) -> str:
+    """A page whose parts are the cells of a table, without names that tell them."""
+    rng = w.rng
+    top = f"<tr><td colspan=2>{w.block('h2', w.words(rng.randint(1, 3)).title(), 0)}</td></tr>" if rng.random() < 0.5 else ""
+    side = f"<td width=150>{w.row(rng.randint(2, 8), '<br>')}</td>"
+    title = w.block("h1", w.words(rng.randint(1, 8)).capitalize(), 1)
+    main = f"<td>{title}{''.join(w.block('p', w.sentences(rng.randint(1, 5)), 1) for _ in range(rng.randint(1, 7)))}</td>"
+    foot = f"<tr><td colspan=2><small>{w.block('span', w.fill(rng.choice(FEET)), 0).strip()}</small></td></tr>" if rng.random() < 0.7 else ""
+    return f"<table>{top}<tr>{side}{main}</tr>{foot}</table>"
+
+
 def page(seed: int) -> tuple[str, list[int]]:
     """A page and the labels of its blocks in page order (1: main text)."""
     w = Writer(seed)
     rng = w.rng
+    if rng.random() < 0.05:
+        return f"<html><head><title>{w.words(3)}</title></head><body>{laid_out(w)}</body></html>", w.labels
     before = rng.sample(["nav", "header", "ad", "notice", "aside", "form"], rng.randint(0, 4))
     after = rng.sample(["aside", "ad", "share", "talk", "form", "notice", "footer"], rng.randint(0, 4))
     if rng.random() < 0.6 and "footer" not in after:
