@@ -34,6 +34,7 @@ and get equal results; an empty table gives no rows. Extra columns are ignored b
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,8 +53,8 @@ LEAST_WORDS = 20
 EDGE = ".,;:!?'’\"()"
 COMMON, LONGEST, MIN_DOCS = 32, 40, 20
 MOST_LANGUAGES = 4096
-#: Words that a task counts before it hands its counts on; words whose bare forms are kept.
-COUNTED, KEPT_FORMS = 400_000, 50_000
+#: Words that a task counts before it hands its counts on.
+COUNTED = 200_000
 CLASSES = 8
 SHARE = 1_000_000
 MIN_CHARS, MIN_WORDS = 100, 40
@@ -77,23 +78,13 @@ def classes() -> np.ndarray:
     return out
 
 
-class Forms(dict):
-    """A word's bare lower-case form. Forgets when large."""
+#: A word without punctuation at its ends; words of punctuation alone have none.
+BARE = re.compile(rf"[^\x20\x09-\x0D{re.escape(EDGE)}]+(?:[{re.escape(EDGE)}]+[^\x20\x09-\x0D{re.escape(EDGE)}]+)*")
 
-    def __missing__(self, word: str) -> str:
-        if len(self) >= KEPT_FORMS:
-            self.clear()
-        found = word.strip(EDGE).lower()
-        if len(word) <= LONGEST:
-            self[word] = found
-        return found
 
-
-FORMS = Forms()
-
-
-def word_forms(words: list[str]) -> list[str]:
-    return list(map(FORMS.__getitem__, words))
+def bare_words(text: str) -> list[str]:
+    """The words in lower case, bare of punctuation."""
+    return BARE.findall(text.lower())
 
 
 def repeat_words(words: list[str]) -> int:
@@ -143,10 +134,9 @@ def class_counts(text: str) -> np.ndarray:
     return chars
 
 
-def word_counts(words: list[str], place: dict[str, int]) -> dict[int, int]:
+def word_counts(text: str, place: dict[str, int]) -> dict[int, int]:
     """How often each common word occurs, by its place."""
-    counts = Counter(word_forms(words))
-    return {place[w]: counts[w] for w in counts.keys() & place.keys()}
+    return {place[w]: n for w, n in Counter(filter(place.__contains__, bare_words(text))).items()}
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -198,17 +188,18 @@ def common_words(docs: DataFrame) -> dict[str, list[str]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
         for b in batches:
-            for lang, text in zip(b.column(0), b.column(1), strict=True):
-                words = WORD.findall(text.as_py())
-                if len(words) >= LEAST_WORDS:
-                    counts.setdefault(lang.as_py(), Counter()).update(set(word_forms(words)))
+            for lang, value in zip(b.column(0), b.column(1), strict=True):
+                text = value.as_py()
+                words = bare_words(text)
+                if len(words) >= LEAST_WORDS or len(WORD.findall(text)) >= LEAST_WORDS:
+                    counts.setdefault(lang.as_py(), Counter()).update(set(words))
             if sum(map(len, counts.values())) > COUNTED:
                 yield packed(counts)
                 counts = {}
         yield packed(counts)
 
     def packed(counts: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items() if 0 < len(w) <= LONGEST]
+        rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items() if len(w) <= LONGEST]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     rows = in_batches(docs.select("lang", "text").where("lang is not null and text is not null"), run, "lang string, word string, n long")
@@ -240,9 +231,9 @@ def measured(docs: DataFrame, words: dict[str, list[str]], whole: bool = False)
         rows = []
         for value in texts:
             text = value.as_py()
-            own, counts = base(text)
+            counts = base(text)[1]
             bad = failed(counts[0], counts[4])
-            rows.append((*counts, bad, None if bad else class_counts(text), None if bad else list(word_counts(own, place).items())))
+            rows.append((*counts, bad, None if bad else class_counts(text), None if bad else list(word_counts(text, place).items())))
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.list_(pa.int64()), pa.map_(pa.int32(), pa.int64())]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=MEASURES.names)
 
