@@ -254,7 +254,7 @@ def across(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     returns connecting edges only.
     """
     key = ["band_key", "g1", "g2"]
-    sizes = rows.groupBy("band_key").agg(F.ceil(F.sum(1 + F.floor(F.col("cells") / CELLS_A_UNIT)) / BLOCK).cast("int").alias("parts"))
+    sizes = settle(rows.groupBy("band_key").agg(F.ceil(F.sum(1 + F.floor(F.col("cells") / CELLS_A_UNIT)) / BLOCK).cast("int").alias("parts")))
     met = rows.join(sizes, "band_key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = met.select("band_key", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
     met = met.select("band_key", F.least("own", "with").alias("g1"), F.greatest("own", "with").alias("g2"), "node", "root")
@@ -303,7 +303,8 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("cells").alias("cells"), F.first("keys", ignorenulls=True).alias("keys"))
     nodes = settle(nodes)
     member = nodes.select(F.explode("keys").alias("band_key"), "node", "cells")
-    low = member.groupBy("band_key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    # written first, so that the join is one of two plain tables, which adaptive execution splits
+    low = settle(member.groupBy("band_key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
     member = settle(member.join(low, "band_key").select("band_key", "n", "a", F.col("node").alias("b"), "cells"))
     pairs = settle(member.where("a <> b").select("a", "b").distinct())
     involved = member.select(F.col("b").alias("node")).distinct().join(nodes.select("node", own_id("low").alias("id")), "node")
@@ -315,7 +316,7 @@ def classes(docs: DataFrame, rows: DataFrame, least: float = LEAST) -> DataFrame
     state = member.where("n > 2").join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
     state = settle(state.select("band_key", F.col("b").alias("node"), F.coalesce("root", "b").alias("root"), "cells"))
     apart = state.groupBy("band_key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band_key")
-    more = settle(across(state.join(apart, "band_key", "left_semi"), texts, least))
+    more = settle(across(settle(state.join(settle(apart), "band_key", "left_semi")), texts, least))
     placed = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     if not more.isEmpty():
         # the components that these edges join: the graph of the roots is enough
