@@ -123,6 +123,15 @@ def test_shards_match_brute_force(spark, shards, tolerance):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+def test_very_long_texts_are_sized_whole(spark):
+    rows = [(i, f"short {i}", "s") for i in range(60)] + [(100, "lang " * 400_000, "s"), (101, None, None), (102, "", "t")]
+    got = {r.doc_id: r for r in histogram_shards.shard(table(spark, rows)).collect()}
+    assert got[100].size == 2_000_016 and [i for i, r in got.items() if r.shard == got[100].shard and i != 100 and r.size > 30] == []
+    assert {(r.doc_id, r.shard) for r in got.values()} == {(i, k) for i, _, _, k in brute_shards(rows, 40, 0.01)}
+    mixed = {r.doc_id: r for r in mixing.mix(table(spark, rows)).collect()}
+    assert mixed[100].size == 400_000 and sum(r.taken for r in mixed.values() if r.target == mixed[100].target) in (int(mixed[100].target), int(mixed[100].target) - 1)
+
+
 def test_no_shards_of_no_rows(spark):
     assert histogram_shards.shard(table(spark, [])).count() == 0
 

@@ -263,6 +263,27 @@ def test_labels_of_held_out_pages():
     assert wrong <= 0.01 * total
 
 
+P1 = "The harbour was quiet that morning, and the boats lay still beside the long stone wall."
+P2 = "Nobody had seen the keeper since the storm, although his lamp was burning every night."
+P3 = "In the village they told each other that he had left, but they did not believe it."
+WRITTEN = {
+ "table layout": (f"<html><body><table width=100%><tr><td colspan=2><h2>My Site</h2></td></tr><tr><td class=nav><a href=/>Home</a><br><a href=/a>About</a><br><a href=/l>Links</a></td><td><h1>The keeper</h1><p>{P1}<p>{P2}<p>{P3}</td></tr><tr><td colspan=2><small>Copyright 1998 My Site</small></td></tr></table>", ["The keeper", P1, P2, P3]),
+ "definition list": (f"<body><header><a href=/>Words</a></header><nav><a href=/a>A</a> <a href=/b>B</a></nav><main><h1>Terms of the sea</h1><dl><dt>Harbour</dt><dd>{P1}</dd><dt>Keeper</dt><dd>{P2}</dd></dl></main><footer>© Words</footer>", ["Terms of the sea", "Harbour", P1, "Keeper", P2]),
+ "aside within": (f"<body><article><h1>The keeper</h1><p>{P1}</p><aside><h4>Related</h4><ul><li><a href=/x>Other lights</a></li></ul></aside><p>{P2}</p><figure><img src=x><figcaption>The lamp at night.</figcaption></figure><p>{P3}</p></article>", ["The keeper", P1, P2, "The lamp at night.", P3]),
+ "plain divs": (f"<body><div id=top><div>Log in</div><div>Search</div></div><div id=page><div><h1>The keeper</h1></div><div>{P1}</div><div>{P2}</div><div>{P3}</div></div><div id=bottom><div>Terms</div><div>Privacy</div></div>", ["The keeper", P1, P2, P3]),
+ "comments": (f"<body><nav><ul><li><a href=/>Home</a></ul></nav><div class=post><h1>The keeper</h1><p>{P1}</p><p>{P2}</p><pre>lamp = on\nwall = long</pre></div><div id=comments><h2>2 responses</h2><ol><li><p>Ann wrote: {P3}</p></li><li><p>{P2}</p></li></ol><form><label>Name</label><input><button>Send</button></form></div>", ["The keeper", P1, P2, "lamp = on wall = long"]),
+ "nested articles": (f"<body><main><article><h1>The keeper</h1><p>{P1}</p><section><h2>Later</h2><p>{P2}</p><ul><li>{P3}</li><li>Short one.</li></ul></section></article></main><aside><article><h3>Read next</h3><p>Ten more stories.</p></article></aside>", ["The keeper", P1, "Later", P2, P3, "Short one."]),
+ "table data": (f"<body><main class=entry-content><h1>Lights</h1><p>{P1}</p><table><caption>Heights</caption><tr><th>Name<th>Metres<tr><td>North<td>31<tr><td>South<td>12</table><p>{P2}</p></main><div class=widget><h3>Tags</h3><a href=/t>sea</a> <a href=/u>lamp</a></div>", ["Lights", P1, "Heights", "Name", "Metres", "North", "31", "South", "12", P2]),
+}
+
+
+@pytest.mark.parametrize("kind", list(WRITTEN))
+def test_pages_of_another_writer(kind):
+    """Pages written by hand, in ways of their own."""
+    page, want = WRITTEN[kind]
+    assert html_crf.default_field().text(page).split("\n") == want
+
+
 def test_training_follows_the_gradient_of_the_likelihood():
     """The field's likelihood on its training pages, summed over all chains, is at its top."""
     pages = [labelled_page(seed) for seed in range(400) if 0 < len(labelled_page(seed)[1]) <= 9][:12]
