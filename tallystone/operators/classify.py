@@ -65,3 +65,8 @@ def next_team_id(teams: DataFrame) -> DataFrame:
 def run_users(requested: DataFrame, users: DataFrame) -> DataFrame:
     """The requested names with their configured team, null if none."""
     return requested.join(users, "name", "left").select("name", "team_id")
+
+
+def team_counts(users: DataFrame, teams: DataFrame) -> DataFrame:
+    """team, users: how many users (name, team_id) each team (team_id, team) has, those without any too."""
+    return teams.join(users, "team_id", "left").groupBy("team").agg(F.count("name").alias("users"))

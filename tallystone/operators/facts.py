@@ -85,3 +85,14 @@ def meta_value(meta: DataFrame, key: str) -> DataFrame:
 def owner_uids(direct: DataFrame, usernames: DataFrame) -> DataFrame:
     """uid of everybody who has files or a name."""
     return direct.select("uid").union(usernames.select("uid")).distinct()
+
+
+def owner_weights(parts: DataFrame, tree: DataFrame) -> DataFrame:
+    """dir_id, uid, weight: the parts (dir, uid, size) of each directory and owner added up, where they hold any bytes."""
+    ids = tree.select(F.col("path").alias("dir"), "dir_id")
+    return parts.join(ids, "dir").groupBy("dir_id", "uid").agg(F.sum("size").alias("weight")).where("weight > 0")
+
+
+def row_count(rows: DataFrame) -> DataFrame:
+    """One row: how many rows a table has."""
+    return rows.agg(F.count("*").alias("rows"))

@@ -26,3 +26,8 @@ def duplicate_mounts(lines: DataFrame, root: str) -> DataFrame:
 def seen_twice(mounts: DataFrame) -> DataFrame:
     """dev, ino of roots that several mount points show."""
     return mounts.groupBy("dev", "ino").agg(F.count("*").alias("n")).where("n > 1").select("dev", "ino")
+
+
+def foreign(dirs: DataFrame, root_dev: int) -> DataFrame:
+    """dev, path: each other device that the walk met (dev, path), once, with the smallest path."""
+    return dirs.where(F.col("dev") != root_dev).groupBy("dev").agg(F.min("path").alias("path"))

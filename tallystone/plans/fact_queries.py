@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.paths import basename
-from ..operators import facts, tree
+from ..functions.paths import basename, parent_or_root
+from ..operators import classify, facts, mounts, tree
 from ..registry import query
-from .base import CONFIG, DD, FE, TREE, UN, Scan
+from ..sources import fixtures
+from .base import CONFIG, DD, EV, FE, TREE, UN, Scan
 from .tree_queries import TREEMAP
 
 
@@ -98,3 +99,28 @@ def meta_values(spark, sf_dir):
 def uid_union(spark, sf_dir):
     s = Scan(spark, sf_dir)
     return facts.owner_uids(s.files, s.usernames)
+
+
+@query("ag_owner_weights", f"WITH {TREE} SELECT dir_id, uid, size AS weight FROM dd JOIN tree ON tree.path = dd.dir WHERE size > 0")
+def owner_weights(spark, sf_dir):
+    """Parts as several writers leave them: one for each last digit of the size."""
+    s = Scan(spark, sf_dir).stage()
+    parts = s.files.groupBy(parent_or_root(F.col("path")).alias("dir"), "uid", (F.col("size") % 10).alias("part")).agg(F.sum("size").alias("size"))
+    return facts.owner_weights(parts, s.tree)
+
+
+@query("ag_team_counts", f"WITH {CONFIG} SELECT team, count(name) AS users FROM tm LEFT JOIN cu USING (team_id) GROUP BY team")
+def team_counts(spark, sf_dir):
+    s = Scan(spark, sf_dir)
+    return classify.team_counts(s.users, s.teams)
+
+
+@query("src_user_count", f"WITH {DD} SELECT count(DISTINCT uid) AS rows FROM dd")
+def user_count(spark, sf_dir):
+    s = Scan(spark, sf_dir)
+    return facts.row_count(facts.user_rows(s.direct, s.usernames, s.users))
+
+
+@query("dd_foreign_mounts", f"WITH {EV} SELECT dev, min(path) AS path FROM ev WHERE dev <> 2 GROUP BY dev")
+def foreign_mounts(spark, sf_dir):
+    return mounts.foreign(fixtures.inodes(spark, sf_dir), 2)

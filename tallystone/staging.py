@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Written rows go once no table on the driver refers to them, unless the session says otherwise.
+CLEANING = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
@@ -22,6 +26,9 @@ def checkpoint_folder(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="checkpoint-")
         sc.setCheckpointDir(named)
+    conf = sc._jsc.sc().conf()
+    if not conf.contains(CLEANING):
+        conf.set(CLEANING, "true")
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -248,7 +248,7 @@ def test_tables_are_switched_at_once(spark, tmp_path):
     one, two = spark.range(3), spark.range(5)
     first = sinks.write_tables({"users": one, "dirs": one}, str(tmp_path))
     with pytest.raises(ValueError, match="broken"):
-        sinks.write_tables({"users": two, "dirs": type("Broken", (), {"write": property(lambda _: (_ for _ in ()).throw(ValueError("broken")))})()}, str(tmp_path))
+        sinks.write_tables({"users": two, "files": type("Broken", (), {"write": property(lambda _: (_ for _ in ()).throw(ValueError("broken")))})()}, str(tmp_path))
     assert sinks.tables_folder(str(tmp_path)) == first
     assert sinks.read_tables(spark, str(tmp_path), ["users", "dirs", "none"])["users"].count() == 3
     second = sinks.write_tables({"users": two}, str(tmp_path))
