@@ -123,7 +123,8 @@ def run_summary(report: dict, files: list[str]) -> str:
         f"Capacity {render.size_text(room.get('total', 0))}, used {render.size_text(room.get('used', 0))}, free {render.size_text(room.get('available', 0))}",
     ]
     others = sum(r["used"] for r in report["other_usage"])
-    teams = sorted([*report["team_usage"], {"name": "Other", "used": others}], key=lambda r: (-r["used"], r["name"]))
+    # as on the console: the other users' sum replaces what the team of that name had
+    teams = sorted([*(r for r in report["team_usage"] if r["name"] != classify.OTHER), {"name": classify.OTHER, "used": others}], key=lambda r: (-r["used"], r["name"]))
     parts = [("team", teams, "Teams"), ("user", report["user_usage"][:20], "Largest users"), ("user", report["other_usage"][:20], "Largest other users")]
     out += [render.table([head, "used", "share"], [(r["name"], render.size_text(r["used"]), share(r["used"])) for r in rows], title) for head, rows, title in parts if rows]
     if found["issues"]:
