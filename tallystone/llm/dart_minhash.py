@@ -224,7 +224,7 @@ def checked(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     The pairs of one ``a`` are split into groups of about ``PAIRS``; its text comes
     first in each group and is sent once to each.
     """
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
+    many = settle(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")))
     first = many.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"), "text")
     rest = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     rest = rest.join(texts.select(F.col("node").alias("b"), "text"), "b").select("a", "part", "b", "text")
