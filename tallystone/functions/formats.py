@@ -58,18 +58,32 @@ def percent_of(part: Column, total: Column) -> Column:
 
 
 def utc(epoch: Column) -> Column:
-    """Time without zone at Greenwich, whatever the session's zone."""
-    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), epoch.cast("decimal(18,6)"))
+    """Time without zone at Greenwich, whatever the session's zone.
+
+    Days apart from seconds, whose type ends at 10^12.
+    """
+    days = F.floor(epoch / 86400)
+    seconds = (epoch - days * 86400).cast("decimal(18,6)")
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")) + F.make_dt_interval(days.cast("int"), F.lit(0), F.lit(0), seconds)
+
+
+def plain_year(text: Column) -> Column:
+    """Without the plus sign that years of more than four digits begin with."""
+    return F.ltrim(text, F.lit("+"))
 
 
 def timestamp_text(epoch: Column) -> Column:
-    return F.date_format(utc(epoch), "yyyy-MM-dd HH:mm:ss")
+    return plain_year(F.date_format(utc(epoch), "yyyy-MM-dd HH:mm:ss"))
 
 
 def label_date(epoch: Column) -> Column:
     return utc(epoch).cast("date")
 
 
+def date_text(epoch: Column) -> Column:
+    return plain_year(label_date(epoch).cast("string"))
+
+
 def grouped_number(x: Column) -> Column:
     return F.format_number(x.cast("long"), 0)
 

@@ -90,7 +90,7 @@ def bars_and_times(spark, sf_dir):
     rows = Scan(spark, sf_dir).table("orders").select("o_orderkey", (F.col("o_totalprice") / 3000 - 5).alias("pct"), (F.floor("o_totalprice") % 9000).alias("s"), (F.lit(1500000000) + F.col("o_orderkey") * 86413).alias("epoch"))
     return rows.select(
         "o_orderkey", formats.usage_bar(F.col("pct")).alias("bar"), formats.duration_text(F.col("s")).alias("duration"), formats.timestamp_text(F.col("epoch")).alias("at"),
-        formats.label_date(F.col("epoch")).cast("string").alias("day"), formats.grouped_number(F.col("epoch")).alias("grouped"), formats.percent_of(F.col("pct"), F.lit(200)).alias("share"),
+        formats.date_text(F.col("epoch")).alias("day"), formats.grouped_number(F.col("epoch")).alias("grouped"), formats.percent_of(F.col("pct"), F.lit(200)).alias("share"),
     )
 
 

@@ -32,6 +32,16 @@ def test_size_text(spark, size, text):
     assert one(spark, formats.size_text(F.lit(size).cast("long"))) == text == render.size_text(size)
 
 
+@pytest.mark.parametrize(
+    ("epoch", "text"),
+    [(1_500_000_000, "2017-07-14 02:40:00"), (-1, "1969-12-31 23:59:59"), (-62_000_000_000, "0005-04-19 09:46:40"), (253_402_300_799, "9999-12-31 23:59:59"), (253_402_300_800, "10000-01-01 00:00:00"), (1_000_000_000_000, "33658-09-27 01:46:40"), (9_223_372_036_853, "294247-01-10 04:00:53")],
+)
+def test_times_of_all_years(spark, epoch, text):
+    at = F.lit(epoch).cast("long")
+    assert one(spark, formats.timestamp_text(at)) == text
+    assert one(spark, formats.date_text(at)) == text.split()[0]
+
+
 @pytest.mark.parametrize(("path", "up", "ext"), [("/a/b.tar.GZ", "/a", "gz"), ("/a", "/", ""), ("/", None, ""), ("", None, ""), ("a.txt", None, "txt"), ("/x/.bashrc", "/x", ""), ("/x/foo.", "/x", ""), ("/x/y//", "/x", "")])
 def test_path_parts(spark, path, up, ext):
     assert one(spark, paths.parent(F.lit(path))) == up
